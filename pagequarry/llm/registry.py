@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pagequarry.llm import op2_ogg, op4_urlfilter
+from pagequarry.llm import op2_ogg, op3_dac, op4_urlfilter, op5_lines, op8_packing
 
 QUERIES: dict[str, Callable] = {
     "op2_ogg_media": op2_ogg.query,
+    "op3_token_dac": op3_dac.query,
     "op4_url_filter": op4_urlfilter.query,
+    "op5_line_dedup": op5_lines.query,
+    "op8_curve_packing": op8_packing.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_ogg_media": op2_ogg.SQL,
     "op4_url_filter": op4_urlfilter.SQL,
+    "op5_line_dedup": op5_lines.SQL,
 }
