@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pagequarry.llm import op2_ogg, op3_dac, op4_urlfilter, op5_lines, op8_packing
+from pagequarry.llm import op1_quality, op2_ogg, op3_dac, op4_urlfilter, op5_lines, op7_lattice, op8_packing
 
 QUERIES: dict[str, Callable] = {
+    "op1_quality_classifier": op1_quality.query,
     "op2_ogg_media": op2_ogg.query,
     "op3_token_dac": op3_dac.query,
     "op4_url_filter": op4_urlfilter.query,
     "op5_line_dedup": op5_lines.query,
+    "op7_lattice_lm": op7_lattice.query,
     "op8_curve_packing": op8_packing.query,
 }
 ORACLE_SQL: dict[str, str] = {
