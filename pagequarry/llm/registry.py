@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pagequarry.llm import op1_quality, op2_ogg, op3_dac, op4_urlfilter, op5_lines, op7_lattice, op8_packing, op9_toxicity
+from pagequarry.llm import op1_quality, op2_ogg, op3_dac, op4_urlfilter, op5_lines, op7_lattice, op8_packing, op9_toxicity, op10_decontaminate
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_classifier": op1_quality.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable] = {
     "op7_lattice_lm": op7_lattice.query,
     "op8_curve_packing": op8_packing.query,
     "op9_toxicity": op9_toxicity.query,
+    "op10_decontamination": op10_decontaminate.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_ogg_media": op2_ogg.SQL,
