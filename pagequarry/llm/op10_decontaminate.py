@@ -333,22 +333,24 @@ def find_contamination(docs: DataFrame, items: DataFrame, cosine: float = COSINE
 def drop_contaminated(docs: DataFrame, items: DataFrame, cosine: float = COSINE) -> DataFrame:
     """The rows of ``docs`` without a confirmed passage, with all their columns; decided row by row."""
     for bench in _benchmark_parts(_item_rows(items)):
-        fit(docs, bench)
-
-        @F.pandas_udf("boolean")
-        def clean(texts: Iterator[pd.Series], bench: Benchmark = bench) -> Iterator[pd.Series]:
-            searcher = Searcher(bench, cosine)
-            for text in texts:
-                ok = np.ones(len(text), bool)
-                for at, _, part in chunks(as_string_array(pa.array(text, pa.string(), from_pandas=True))):
-                    for t, *_ in searcher.search(part):
-                        ok[at + t] = False
-                yield pd.Series(ok)
-
-        docs = docs.where(clean(F.col("text").cast("string")))
+        docs = docs.where(_clean(fit(docs, bench), cosine)(F.col("text").cast("string")))
     return docs
 
 
+def _clean(bench: Benchmark, cosine: float):
+    @F.pandas_udf("boolean")
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        searcher = Searcher(bench, cosine)
+        for text in texts:
+            ok = np.ones(len(text), bool)
+            for at, _, part in chunks(as_string_array(pa.array(text, pa.string(), from_pandas=True))):
+                for t, *_ in searcher.search(part):
+                    ok[at + t] = False
+            yield pd.Series(ok)
+
+    return clean
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
