@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pagequarry.llm import op1_quality, op2_ogg, op3_dac, op4_urlfilter, op5_lines, op7_lattice, op8_packing, op9_toxicity, op10_decontaminate
+from pagequarry.llm import op1_quality, op2_ogg, op3_dac, op4_urlfilter, op5_lines, op6_jaccard, op7_lattice, op8_packing, op9_toxicity, op10_decontaminate
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_classifier": op1_quality.query,
@@ -12,6 +12,7 @@ QUERIES: dict[str, Callable] = {
     "op3_token_dac": op3_dac.query,
     "op4_url_filter": op4_urlfilter.query,
     "op5_line_dedup": op5_lines.query,
+    "op6_jaccard_join": op6_jaccard.query,
     "op7_lattice_lm": op7_lattice.query,
     "op8_curve_packing": op8_packing.query,
     "op9_toxicity": op9_toxicity.query,
