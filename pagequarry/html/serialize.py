@@ -9,11 +9,11 @@ RAW = frozenset("style script xmp iframe noembed noframes plaintext".split())
 
 
 def _text(s: str) -> str:
-    return s.replace("&", "&amp;").replace(" ", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;")
+    return s.replace("&", "&amp;").replace("\u00a0", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
 def _value(s: str) -> str:
-    return s.replace("&", "&amp;").replace(" ", "&nbsp;").replace('"', "&quot;")
+    return s.replace("&", "&amp;").replace("\u00a0", "&nbsp;").replace('"', "&quot;")
 
 
 def _write(node: Node, out: list[str], itself: bool) -> None:

@@ -1 +1 @@
-
+"""Pages from files, tables, URLs, sitemaps and robots files."""
