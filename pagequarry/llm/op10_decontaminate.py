@@ -10,7 +10,7 @@
 3. Passages and items are projected; pairs of at least ``COSINE`` are candidates (exact search: every passage
    meets every item in one matrix product, in blocks of items).
 4. A candidate is confirmed by its longest common subsequence with the item, over the passage and ``BLOCK``
-   words on either side, without common words (unless an item has fewer than ``FEW`` others): at least
+   words on either side, without common words (an item with fewer than ``FEW`` others keeps them): at least
    ``LCS`` of the item; or, for a paraphrase, at least ``LCS_LOOSE`` of it with ``ANSWER`` of its answer (its
    last sentence, or its last words if that is shorter than ``FEW``).
 
@@ -199,9 +199,12 @@ def fit(docs: DataFrame, bench: Benchmark, rank: int = RANK) -> Benchmark:
     """IDF, latent basis and the items' projections."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     df, passages = frequencies(texts, bench)
-    idf = np.log((passages + 1) / (df + 0.5))
-    idf[df > max(MAX_DF * passages, MIN_COMMON)] = 0
-    idf = np.maximum(idf, 0)
+    idf = np.maximum(np.log((passages + 1) / (df + 0.5)), 0.05)
+    common = df > max(MAX_DF * passages, MIN_COMMON)
+    needed = [w for w in bench.words if (~common[w]).sum() < FEW]  # items that have little else keep their common words
+    if needed:
+        common[np.concatenate(needed)] = False
+    idf[common] = 0
     items = np.zeros((len(bench.ids), len(idf)), np.float32)
     for k, own in enumerate(bench.words):
         np.add.at(items[k], own, 1)

@@ -72,34 +72,35 @@ def drop_boilerplate(
     """``docs`` with its boilerplate lines dropped from ``text_col``; ``n_chars``, if there is one, follows
     the text.  ``with_counts`` adds ``dropped_lines``."""
     listed = checkpointed(boilerplate(docs, ratio, min_pages, host_col, text_col))
-    columns = docs.columns
-    host, text = F.col(f"d.`{host_col}`").cast("string"), F.col(f"d.`{text_col}`")
-    lists = listed.groupBy(F.col("host").alias("__host")).agg(F.sort_array(F.collect_set("line")).alias("__drop"))
+    columns, kinds = docs.columns, {f.name: f.dataType for f in docs.schema.fields}
+    # the row travels as one struct, so that its columns may have any names
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{host_col}`").cast("string").alias("own_host"), F.col(f"`{text_col}`").cast("string").alias("own_text"))
     if listed.count() <= broadcast_rows:
-        joined = docs.alias("d").join(F.broadcast(lists), host.eqNullSafe(F.col("__host")), "left")
+        lists = listed.groupBy(F.col("host").alias("h")).agg(F.collect_set("line").alias("bad"))
+        joined = own.join(F.broadcast(lists), F.col("own_host").eqNullSafe(F.col("h")), "left")
     else:
         # by text: a host's list is not copied to all its pages, and a hot host is spread by its lines
-        keyed = docs.select(F.col(host_col).cast("string").alias("__h"), F.xxhash64(text_col).alias("__page"), F.explode(F.array_distinct(F.transform(_lines(F.col(text_col)), line_key))).alias("__line"))
-        hits = keyed.join(listed, F.col("__h").eqNullSafe(F.col("host")) & (F.col("__line") == F.col("line")))
-        hits = hits.groupBy("__h", "__page").agg(F.collect_set("__line").alias("__drop"))
-        joined = docs.alias("d").join(hits, host.eqNullSafe(F.col("__h")) & (F.xxhash64(text) == F.col("__page")), "left")
-    lines = _lines(text)
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), line_key(x)))
-    out = joined.select(*[F.col(f"d.`{c}`") for c in columns], F.when(F.col("__drop").isNotNull(), kept).alias("__kept"), F.size(lines).alias("__lines"))
-    touched = F.col("__kept").isNotNull() & (F.size("__kept") < F.col("__lines"))
+        keyed = own.select(F.col("own_host").alias("h"), F.xxhash64("own_text").alias("page"), F.explode(F.array_distinct(F.transform(_lines(F.col("own_text")), line_key))).alias("own_line"))
+        hits = keyed.join(listed, F.col("h").eqNullSafe(F.col("host")) & (F.col("own_line") == F.col("line")))
+        hits = hits.groupBy("h", "page").agg(F.collect_set("own_line").alias("bad"))
+        joined = own.join(hits, F.col("own_host").eqNullSafe(F.col("h")) & (F.xxhash64("own_text") == F.col("page")), "left")
+    lines = _lines(F.col("own_text"))
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("bad"), line_key(x)))
+    out = joined.select("row", "own_text", F.when(F.col("bad").isNotNull(), kept).alias("kept"), F.size(lines).alias("n_lines"))
+    touched = F.coalesce(F.size("kept") < F.col("n_lines"), F.lit(False)) & F.col("kept").isNotNull()
     if drop_empty:
-        out = out.where(~touched | F.exists("__kept", lambda x: F.trim(x) != "") | F.col(f"`{text_col}`").isNull())
-    new_text = F.when(touched, F.array_join("__kept", "\n")).otherwise(F.col(f"`{text_col}`"))
+        out = out.where(~touched | F.exists("kept", lambda x: F.trim(x) != ""))
+    new_text = F.when(touched, F.array_join("kept", "\n")).otherwise(F.col("own_text"))
     cells = []
     for c in columns:
         if c == text_col:
             cells.append(new_text.alias(c))
         elif c == "n_chars":
-            cells.append(F.when(touched, F.length(new_text).cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c))
+            cells.append(F.when(touched, F.length(new_text).cast(kinds[c])).otherwise(F.col(f"row.`{c}`")).alias(c))
         else:
-            cells.append(F.col(f"`{c}`"))
+            cells.append(F.col(f"row.`{c}`").alias(c))
     if with_counts:
-        cells.append(F.when(touched, F.col("__lines") - F.size("__kept")).otherwise(F.lit(0)).alias("dropped_lines"))
+        cells.append(F.when(touched, F.col("n_lines") - F.size("kept")).otherwise(F.lit(0)).alias("dropped_lines"))
     return out.select(*cells)
 
 

@@ -178,7 +178,7 @@ def lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
     """Weights of the toxic words, and the prior's log odds."""
     named = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
     sample = named.orderBy(F.xxhash64("__id"), "__id").limit(max_labels)
-    known = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select(F.col("text").cast("string").alias("text"), "toxic").where("text IS NOT NULL")
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("text", "toxic").where("text IS NOT NULL")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic = sum(n for k, n in sizes.items() if k)
     n_clean = sum(n for k, n in sizes.items() if not k)
