@@ -9,15 +9,15 @@ Documents with equal token sets form one class and are compared once.
    them, yet no family is left out.
 2. Groups: a class joins the group of its most frequent usable pick; the groups are cut into parts of about
    ``PART`` members.  The matrix says which tokens any member of a group searches with.
-3. Every class is a query.  Where the matrix has one of its tokens, the group's token union (of its
-   members' sketches, a token of the query itself only if another member has it too) bounds the overlap;
-   the group is opened if the union holds at least ``BOUND`` of the query's sketch.
+3. Every class is a query.  The matrix bounds its overlap with each group twice: the group must search with
+   at least ``SHARED`` of the query's picks (less those set aside as hot), and then its token union (of its
+   members' sketches, a token of the query itself only if another member has it too) must hold at least
+   ``BOUND`` of the query's sketch.  Only such groups are opened.
 4. In opened groups the exact Jaccard similarity of whole token sets is computed; pairs of at least
    ``THRESHOLD`` remain.  Only the sets of classes in opened groups are shuffled.
 
-Approximate in step 1 only: a pair of similarity J is missed if none of the PICKS smallest tokens of its
-union is shared, with probability (1 - J) ** PICKS, and in step 3 by a deviation of three sigmas of a
-sketch.  There are no caps on partners or candidates: large groups are met in blocks.
+Approximate in step 3 only, as picks and sketches are samples: of a pair of similarity J about J * PICKS picks
+are shared, and fewer than SHARED * PICKS with a probability of 0.1 % at the threshold.  There are no caps on partners or candidates: large groups are met in blocks.
 
 Result: one row for each class of several documents (similarity 1) and for each pair of similar classes:
 ``doc_ids`` (sorted), all of which are pairwise at least ``jaccard`` similar.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequarry.llm._shared import checkpointed
@@ -43,7 +43,8 @@ N = 3
 THRESHOLD = 0.6
 SKETCH = 32
 PICKS = 16
-HOT = 1000
+SHARED = 0.25
+HOT = 100
 PART = 1024
 BOUND = 0.34
 BROADCAST_ROWS = 1_000_000
@@ -115,21 +116,24 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _searching(classes: DataFrame) -> DataFrame:
-    """(fp, tokens, group): what each class with a shared pick searches with, and its group."""
+    """(fp, tokens, group, need): what a class with enough shared picks searches with, its group, and how
+    many of its tokens a group must have."""
     picks = F.slice("sketch", 1, PICKS)
     each = classes.select("fp", F.size(picks).alias("size"), F.explode(picks).alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     own = each.join(shared, "token").groupBy("fp").agg(F.first("size").alias("size"), F.collect_list(F.struct("df", "token")).alias("picks"))
     cold = F.filter("picks", lambda p: p["df"] <= HOT)
     usable = F.when((F.size("picks") - F.size(cold)) * 2 >= F.col("size"), F.col("picks")).otherwise(cold)
-    own = own.select("fp", usable.alias("picks")).where(F.size("picks") > 0).withColumn("top", F.array_max("picks"))
+    aside = F.size("picks") - F.size(usable)
+    need = F.greatest(F.lit(1), F.ceil(F.col("size") * SHARED).cast("int") - aside)
+    own = own.select("fp", usable.alias("picks"), need.alias("need")).where(F.size("picks") >= F.col("need")).withColumn("top", F.array_max("picks"))
     part = F.pmod(F.xxhash64("fp"), F.ceil(F.col("top.df") / PART).cast("long"))
-    return own.select("fp", F.col("picks.token").alias("tokens"), F.xxhash64(F.col("top.token"), part).alias("group"))
+    return own.select("fp", F.col("picks.token").alias("tokens"), F.xxhash64(F.col("top.token"), part).alias("group"), "need")
 
 
 def _blocks(queries: DataFrame, members: DataFrame) -> DataFrame:
     """(group, block, fp, query): the queries of each group in blocks, its members beside each block."""
-    n = queries.groupBy("group").agg(F.ceil(F.count("*") / PART).cast("long").alias("n"))
+    n = queries.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").withColumn("n", F.ceil(F.col("n") / PART).cast("long"))  # else it holds but the query itself
     q = queries.join(n, "group").select("group", F.pmod(F.xxhash64("fp"), F.col("n")).alias("block"), "fp", F.lit(True).alias("query"))
     m = members.join(n, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"), "fp", F.lit(False).alias("query"))
     return q.unionByName(m)
@@ -168,9 +172,10 @@ def _open(table: pa.Table) -> pa.Table:
 def similar_pairs(classes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, jaccard) of similar classes, a < b."""
     own = checkpointed(_searching(classes))
-    each = own.select("fp", "group", F.explode("tokens").alias("token"))
+    each = own.select("fp", "group", "need", F.explode("tokens").alias("token"))
     matrix = each.select("group", "token").distinct()
-    queries = each.select("fp", "token").join(matrix, "token").select("fp", "group").distinct()
+    met = each.select("fp", "need", "token").join(matrix, "token").groupBy("fp", "group").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    queries = checkpointed(met.where("n >= need").select("fp", "group"))
     met = _blocks(queries, own.select("fp", "group")).join(classes.select("fp", "sketch"), "fp")
     kinds = "group long, block long, fp binary, query boolean"
     opened = checkpointed(met.groupBy("group", "block").applyInArrow(_open, kinds))
@@ -288,20 +293,21 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             out += fingerprints(tokens, offs)
         return pd.Series(out, dtype=object)
 
-    d = docs.withColumn("__own", fp(F.col("text").cast("string")))
+    # the row travels as one struct, so that its columns may have any names
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").alias("id"), fp(F.col("text").cast("string")).alias("own"))
     known = F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed
-    d = d.join(known, d["__own"] == listed["__fp"], "left")
-    d = d.where(F.col("__fp").isNull() | (F.col("__wins") & F.col("doc_id").eqNullSafe(F.col("__first"))))
+    d = d.join(known, d["own"] == known["__fp"], "left")
+    d = d.where(F.col("__fp").isNull() | (F.col("__wins") & F.col("id").eqNullSafe(F.col("__first"))))
     # a winner whose row repeats, id and all
-    twice = checkpointed(signed.groupBy("fp", "doc_id").agg(F.count("*").alias("n")).where("n > 1").join(listed.where("__wins"), (F.col("fp") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__first"))).select(F.col("fp").alias("__twice")))
+    twice = signed.groupBy("fp", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    twice = twice.join(listed.where("__wins"), (F.col("fp") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__first")))
+    twice = checkpointed(twice.select(F.col("fp").alias("__twice")))
     if twice.isEmpty():
-        return d.select(*[F.col(f"`{c}`") for c in columns])
-    from pyspark.sql import Window
-
-    d = d.join(twice, F.col("__own") == F.col("__twice"), "left")
-    rank = F.row_number().over(Window.partitionBy("__own").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in columns])))
-    once = d.where("__twice IS NULL").select(*[F.col(f"`{c}`") for c in columns])
-    return once.unionByName(d.where("__twice IS NOT NULL").withColumn("__rank", rank).where("__rank = 1").select(*[F.col(f"`{c}`") for c in columns]))
+        return d.select("row.*")
+    d = d.join(twice, F.col("own") == F.col("__twice"), "left")
+    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.xxhash64(*[F.col(f"row.`{c}`") for c in columns])))
+    once = d.where("__twice IS NULL").select("row.*")
+    return once.union(d.where("__twice IS NOT NULL").withColumn("__rank", rank).where("__rank = 1").select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
