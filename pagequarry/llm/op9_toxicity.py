@@ -201,9 +201,19 @@ def lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+        held: dict[str, tuple[str, ...]] = {}  # of words met before
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total.update({e for w in set(words_of(text)) for e in entries(w)}.intersection(seen))
+                own: set[str] = set()
+                for w in set(words_of(text)):
+                    found = held.get(w)
+                    if found is None:
+                        if len(held) > REMEMBERED:
+                            held.clear()
+                        found = held[w] = tuple(e for e in entries(w) if e in seen)
+                    if found:
+                        own.update(found)
+                total.update(own)
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["word", "n"])
 
     against = {r["word"]: r["n"] for r in known.where("toxic = 0").select("text").mapInArrow(clean, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator()}
