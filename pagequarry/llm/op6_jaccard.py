@@ -3,14 +3,12 @@
 A document's tokens are the hashes of its distinct word ``N``-grams (all its words, if there are fewer).
 Documents with equal token sets form one class and are compared once.
 
-1. A class keeps its ``SKETCH`` smallest tokens and searches with the first ``PICKS`` of them.  A pick
-   that more than ``HOT`` classes search with is hot; it is used only by classes of whose picks at least
-   half are hot (large families of copies), so that a passage that many pages share is no reason to compare
-   them, yet no family is left out.
-2. Groups: a class joins the group of its most frequent usable pick; the groups are cut into parts of about
+1. A class keeps its ``SKETCH`` smallest tokens and searches with the first ``PICKS`` of them, however many
+   classes search with the same ones.
+2. Groups: a class joins the group of its most frequent pick; the groups are cut into parts of about
    ``PART`` members.  The matrix says which tokens any member of a group searches with.
 3. Every class is a query.  The matrix bounds its overlap with each group twice: the group must search with
-   at least ``SHARED`` of the query's picks (less those set aside as hot), and then its token union (of its
+   at least ``SHARED`` of the query's picks, and then its token union (of its
    members' sketches, a token of the query itself only if another member has it too) must hold at least
    ``BOUND`` of the query's sketch.  Only such groups are opened.
 4. In opened groups the exact Jaccard similarity of whole token sets is computed; pairs of at least
@@ -44,7 +42,6 @@ THRESHOLD = 0.6
 SKETCH = 32
 PICKS = 16
 SHARED = 0.25
-HOT = 100
 PART = 1024
 BOUND = 0.34
 BROADCAST_ROWS = 1_000_000
@@ -122,11 +119,8 @@ def _searching(classes: DataFrame) -> DataFrame:
     each = classes.select("fp", F.size(picks).alias("size"), F.explode(picks).alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     own = each.join(shared, "token").groupBy("fp").agg(F.first("size").alias("size"), F.collect_list(F.struct("df", "token")).alias("picks"))
-    cold = F.filter("picks", lambda p: p["df"] <= HOT)
-    usable = F.when((F.size("picks") - F.size(cold)) * 2 >= F.col("size"), F.col("picks")).otherwise(cold)
-    aside = F.size("picks") - F.size(usable)
-    need = F.greatest(F.lit(1), F.ceil(F.col("size") * SHARED).cast("int") - aside)
-    own = own.select("fp", usable.alias("picks"), need.alias("need")).where(F.size("picks") >= F.col("need")).withColumn("top", F.array_max("picks"))
+    need = F.ceil(F.col("size") * SHARED).cast("int")
+    own = own.select("fp", "picks", need.alias("need")).where(F.size("picks") >= F.col("need")).withColumn("top", F.array_max("picks"))
     part = F.pmod(F.xxhash64("fp"), F.ceil(F.col("top.df") / PART).cast("long"))
     return own.select("fp", F.col("picks.token").alias("tokens"), F.xxhash64(F.col("top.token"), part).alias("group"), "need")
 

@@ -211,6 +211,19 @@ def test_jaccard_brute_force(spark):
     assert kept == [i for i in range(len(texts)) if find(i) == i]
 
 
+def test_jaccard_large_family(spark):
+    """Documents that hold a core of many near copies and text of their own, similar to the copies only."""
+    core = prose(787, 300)
+    texts = [" ".join([*core.split()[: 2 * i], f"x{i}", *core.split()[2 * i + 1 :]]) for i in range(130)] + [core + " " + prose(10_000 + i, 150 + i % 30) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [frozenset(zip(w, w[1:], w[2:])) for w in map(str.split, texts)]
+    want = {(a, b): j for b in range(len(texts)) for a in range(b) if 1 > (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= op6_jaccard.THRESHOLD}
+    mixed = {p for p in want if p[0] < 130 <= p[1]}
+    assert len({b for _, b in mixed}) > 100 and max(want[p] for p in mixed) < 0.7
+    got = {(a, b) for r in op6_jaccard.jaccard_join(docs).collect() for a in r.doc_ids for b in r.doc_ids if a < 130 <= b}
+    assert got <= mixed and {b for _, b in got} == {b for _, b in mixed} and len(got) >= 0.99 * len(mixed)
+
+
 def test_jaccard_edges(spark, odd):
     assert sorted(map(tuple, [r.doc_ids for r in op6_jaccard.jaccard_join(odd).collect()])) == [(5, 5, 6)]
     kept = op6_jaccard.keep_one(odd)
