@@ -1,7 +1,8 @@
 """Toxicity through a noisy channel.
 
 A text may hide its words behind digits and symbols (``l0$er``), spacing (``s t u p i d``) or repetition
-(``stuuupid``).  Suspicious tokens and runs of single letters become a lattice: every observed
+(``stuuupid``), also combined (``l 0 $ e r``).  Suspicious tokens and runs of single letters, digits and
+symbols, with any white space and separators between them, become a lattice: every observed
 character emits itself, the letters that it can stand for, or nothing (a separator, or the repetition of
 the character before it), each at a cost.  Viterbi decoding under a character trigram model finds the
 likeliest string, and the restored words are scored with all other words of the text.
@@ -45,6 +46,7 @@ STEM_PURITY = 0.98
 MIN_WEIGHT = 2.5
 CUTOFF = 0.5
 REMEMBERED = 400_000
+ROW = 16
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
 ALPHABET = len(LETTERS) + 1  # 0: everything else, a word's edge
@@ -64,11 +66,58 @@ KEPT_COST = math.log(0.005)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"([^\W\d_])\1\1")
+_EDGE = frozenset(" \t\n\r\v\f" + SEPARATORS)
 _TWICE = re.compile(r"([^\W\d_])\1+")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W_][ .\-_*/~]{1,2}){2,}[^\W_](?!\w)")
+_SYMBOLS = re.escape("".join(c for c in LEET if not c.isalnum() and c not in SEPARATORS))
+_GAP = re.compile(rf"[\s{re.escape(SEPARATORS)}]*")
+_ELEMENT = re.compile(rf"[^\W_]|[{_SYMBOLS}]|\*")
+# single letters, digits and symbols with any white space and separators between them; possessive, so linear
+_RUNS = re.compile(rf"(?:(?<![^\W_])[^\W_](?![^\W_])|[{_SYMBOLS}])(?:[\s{re.escape(SEPARATORS)}]*+(?:(?<![^\W_])[^\W_](?![^\W_])|[{_SYMBOLS}]))++")
 _LEETED = re.compile(r"[0-9@$!|+(€£*#]")
 
 
+def _squeezed(gap: str) -> str:
+    """What of a gap the decoder must see: its asterisks, which may be letters, else one blank.  A row of over
+    ``ROW`` asterisks is a rule, not spelling, and costs too much to decode."""
+    n = gap.count("*")
+    return "*" * n if 0 < n <= ROW else gap and " "
+
+
+def spelled_runs(text: str) -> Iterator[tuple[str, ...]]:
+    """For each run of three or more single characters, what it may spell: all of it, its parts between
+    unusual gaps (a gap between words is often wider than those between letters), and these without a
+    first or last character, which may be a word or a mark of its own; each of three characters at least."""
+    for m in _RUNS.finditer(text):
+        at, to = m.span()
+        while at and text[at - 1] in _EDGE:
+            at -= 1
+        while to < len(text) and text[to] in _EDGE:
+            to += 1
+        run = text[at:to].lower()
+        if len(_ELEMENT.findall(run)) < 3:
+            continue
+        chars, gaps = [], []
+        k = _GAP.match(run).end()
+        lead = _squeezed(run[:k]).strip()
+        while k < len(run):
+            chars.append(run[k])
+            end = _GAP.match(run, k + 1).end()
+            gaps.append(run[k + 1 : end])
+            k = end
+        tail = _squeezed(gaps.pop()).strip()
+        usual = Counter(gaps).most_common(1)[0][0]
+        cuts = [0, *(i for i, g in enumerate(gaps, 1) if g != usual), len(chars)]
+        spans = {(0, len(chars)), *(x for x in zip(cuts, cuts[1:]) if x[1] - x[0] > 2)}
+        spans |= {(a + i, b - j) for a, b in spans for i in (0, 1) for j in (0, 1) if b - a - i - j > 2}
+        joins = [_squeezed(g) for g in gaps]
+        out = {m.group().lower() for m in _SPACED.finditer(text[at:to])}
+        for a, b in spans:
+            seen = "".join(c + g for c, g in zip(chars[a:b], [*joins[a : b - 1], ""]))
+            out.add((lead if a == 0 else "") + seen + (tail if b == len(chars) else ""))
+        yield tuple(sorted(out))
+
+
 def trigrams(word: str) -> np.ndarray:
     codes = np.array([0, 0, *(CODE.get(c, 0) for c in word), 0])
     return (codes[:-2] * ALPHABET + codes[1:-1]) * ALPHABET + codes[2:]
@@ -234,6 +283,7 @@ class Judge:
         self.collapsed = {_TWICE.sub(r"\1", w): w for w in weights}
         self.harmless: set[str] = set()
         self.found: dict[str, tuple[tuple[str, ...], bool]] = {}
+        self.runs: dict[str, tuple[str, ...]] = {}
 
     def weight(self, word: str) -> float:
         return max([self.weights.get(e, 0.0) for e in entries(word)])
@@ -264,6 +314,15 @@ class Judge:
             return tuple(self._restored(core)), True
         return (), False
 
+    def spelled(self, seen: str) -> tuple[str, ...]:
+        """Lexicon words in a run of single characters."""
+        got = self.runs.get(seen)
+        if got is None:
+            if len(self.runs) > REMEMBERED:
+                self.runs.clear()
+            got = self.runs[seen] = tuple(self._restored(seen))
+        return got
+
     def text(self, text: str | None) -> tuple[float, list[str], int]:
         """(log odds, distinct lexicon words, how many of them only decoding showed)."""
         held: set[str] = set()
@@ -278,8 +337,9 @@ class Judge:
                     (hidden if got[1] else held).update(got[0])
                 else:
                     self.harmless.add(token)
-            for m in _SPACED.finditer(text):
-                hidden.update(self._restored(m.group().lower()))
+            for run in spelled_runs(text):
+                for seen in run:
+                    hidden.update(self.spelled(seen))
         words = held | hidden
         return self.prior + sum(self.weight(w) for w in sorted(words)), sorted(words), len(hidden - held)
 

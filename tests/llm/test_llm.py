@@ -361,6 +361,24 @@ def test_toxicity(spark, odd, labels):
     assert not op9_toxicity.score_toxicity(docs, known.limit(0)).where("toxic").count()
 
 
+def test_combined_disguises():
+    words = ["loser", "stupid", "idiot", "moron", "ass"]
+    counts = np.zeros(op9_toxicity.ALPHABET**3, np.int64)
+    for w in [*WORDS, *words, "hello", "yes", "some", "text", "and", "more"]:
+        np.add.at(counts, op9_toxicity.trigrams(w), 5)
+    judge = op9_toxicity.Judge(op9_toxicity.CharModel(counts, words), dict.fromkeys(words, 5.0), -3.0)
+    hidden = {
+        "l 0 $ e r": "loser", "x l 0 $ e r y": "loser", "$ t u p i d": "stupid", "s t u p ! d": "stupid", "@ $ $": "ass", "l   o   s   e   r": "loser", "m\to\tr\to\tn": "moron",
+        "m\no\nr\r\no\nn": "moron", "s, t, u, p, i, d": "stupid", "1 - d - 1 - 0 - t": "idiot", "(s t u p i d)": "stupid", "l o s e r !": "loser", "l 0 \u200b $ _ e . r": "loser", "s * u p i d": "stupid", "s_t_u_p_!_d": "stupid",
+        "S T U P I D": "stupid", "m o r o n": "moron",
+    }
+    for seen, word in hidden.items():
+        assert word in judge.text(f"{WORDS[3]} {seen} {WORDS[9]}")[1], seen
+    assert judge.text("l 0 $ e r   1 d 1 0 t\nm 0 r 0 n")[1] == ["idiot", "loser", "moron"]
+    for clean in ("a b c d e f", "2 7 2\n7 2 2", "( a ) ( b ) ( c )", "| | |\n+---+---+", "x + y = z!", "5 $ 3", "- - -", "", "*" * 100_000, "* " * 50_000 + "a", "a " + "* " * 50_000 + "b"):
+        assert judge.text(clean)[1] == [], clean[:20]
+
+
 def test_char_counts(spark):
     texts = ["ab", None, "", "x" * 200_000 + "é"]
     got = op9_toxicity.char_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
