@@ -12,7 +12,7 @@ Documents with equal token sets form one class and are compared once.
    members' sketches, a token of the query itself only if another member has it too) must hold at least
    ``BOUND`` of the query's sketch.  Only such groups are opened.
 4. In opened groups the exact Jaccard similarity of whole token sets is computed; pairs of at least
-   ``THRESHOLD`` remain.  Only the sets of classes in opened groups are shuffled.
+   ``THRESHOLD`` remain, whichever of the two opened the other's group.  Only the sets of classes in opened groups are shuffled.
 
 Approximate in step 3 only, as picks and sketches are samples: of a pair of similarity J about J * PICKS picks
 are shared, and fewer than SHARED * PICKS with a probability of 0.1 % at the threshold.  There are no caps on partners or candidates: large groups are met in blocks.
@@ -218,11 +218,12 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, threshold: float = THRESH
                 share = both / (sizes[members] + sizes[q] - both)
                 for m in np.flatnonzero(share >= threshold):
                     other = fps[members[m]]
-                    if fps[q] < other:
-                        a.append(fps[q]), b.append(other), found.append(float(share[m]))
+                    if fps[q] != other:
+                        a.append(min(fps[q], other)), b.append(max(fps[q], other)), found.append(float(share[m]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "jaccard": pa.array(found, pa.float64())})
 
-    return opened.join(sets, "fp").groupBy("group", "block").applyInArrow(verify, "a binary, b binary, jaccard double")
+    pairs = opened.join(sets, "fp").groupBy("group", "block").applyInArrow(verify, "a binary, b binary, jaccard double")
+    return pairs.distinct()
 
 
 def _classes(signed: DataFrame) -> DataFrame:

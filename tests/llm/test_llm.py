@@ -224,6 +224,19 @@ def test_jaccard_large_family(spark):
     assert got <= mixed and {b for _, b in got} == {b for _, b in mixed} and len(got) >= 0.99 * len(mixed)
 
 
+@pytest.mark.parametrize("asking", ["min", "max"])
+def test_jaccard_either_direction(spark, monkeypatch, asking):
+    blocks = op6_jaccard._blocks
+
+    def one_sided(queries, members):
+        only = queries.agg(F.expr(f"{asking}(fp)")).first()[0]
+        return blocks(queries, members).where(~F.col("query") | (F.col("fp") == F.lit(bytes(only))))
+
+    monkeypatch.setattr(op6_jaccard, "_blocks", one_sided)
+    docs = spark.createDataFrame([(1, prose(1) + " a"), (2, prose(1) + " b")], "doc_id long, text string")
+    assert [r.doc_ids for r in op6_jaccard.jaccard_join(docs).collect()] == [[1, 2]]
+
+
 def test_jaccard_edges(spark, odd):
     assert sorted(map(tuple, [r.doc_ids for r in op6_jaccard.jaccard_join(odd).collect()])) == [(5, 5, 6)]
     kept = op6_jaccard.keep_one(odd)
