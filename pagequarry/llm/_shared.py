@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,3 +35,33 @@ def spread(df: DataFrame, *keys, parts: int | None = None) -> DataFrame:
     which stand for much Python work are not coalesced into few tasks."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system: workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
+def trimmed(f):
+    """A function of Arrow batches or of one table that gives its memory back at its end."""
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def run(batches):
+            yield from f(batches)
+            release()
+
+        return run
+
+    @functools.wraps(f)
+    def one(table):
+        out = f(table)
+        if table.nbytes > 1 << 22:
+            release()
+        return out
+
+    return one

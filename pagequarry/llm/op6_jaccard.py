@@ -1,31 +1,41 @@
-"""N-gram Jaccard self-join by a token-group matrix.
+"""N-gram Jaccard self-join by a token-group matrix; exact.
 
 A document's tokens are the hashes of its distinct word ``N``-grams (all its words, if there are fewer).
 Documents with equal token sets form one class and are compared once.
 
-1. A class keeps its ``SKETCH`` smallest tokens and searches with the first ``PICKS`` of them, however many
-   classes search with the same ones.
-2. Groups: a class joins the group of its most frequent pick; the groups are cut into parts of about
-   ``PART`` members.  The matrix says which tokens any member of a group searches with.
-3. Every class is a query.  The matrix bounds its overlap with each group twice: the group must search with
-   at least ``SHARED`` of the query's picks, and then its token union (of its
-   members' sketches, a token of the query itself only if another member has it too) must hold at least
-   ``BOUND`` of the query's sketch.  Only such groups are opened.
-4. In opened groups the exact Jaccard similarity of whole token sets is computed; pairs of at least
-   ``THRESHOLD`` remain, whichever of the two opened the other's group.  Only the sets of classes in opened groups are shuffled.
-
-Approximate in step 3 only, as picks and sketches are samples: of a pair of similarity J about J * PICKS picks
-are shared, and fewer than SHARED * PICKS with a probability of 0.1 % at the threshold.  There are no caps on partners or candidates: large groups are met in blocks.
-
-Result: one row for each class of several documents (similarity 1) and for each pair of similar classes:
-``doc_ids`` (sorted), all of which are pairwise at least ``jaccard`` similar.
-
-Defined results: null, empty and wordless texts match nothing; null ids are compared but not listed, and
-rows with fewer than two ids are left out; repeated rows are copies; ties of similarity need no order; an
-empty table gives an empty result.  Other columns are ignored by the join and pass through
+1. Survivors.  A class of n tokens can only be similar to another if at least ``ceil(t * n)`` of its tokens
+   are shared.  Tokens are met in buckets by their leading bits: a task sorts the tokens of ``FLUSH`` entries
+   at once; one held twice there is known to be shared, is counted on the spot and told to its bucket once,
+   whatever the number of its holders; all others ask their bucket.  So a token, and a text, that a third
+   of all documents hold sends one entry a flush.  Buckets compare 32 further bits, which can only make
+   more tokens look shared, so no class that has a partner is lost.
+2. Groups.  A survivor joins the group of that token of its prefix which is most frequent by a table of
+   ``CELLS`` counts; groups are cut into parts of about ``PART`` tokens.  The prefix are the first
+   ``n - ceil(t * n) + ceil(LEAD * n)`` tokens in the order of the hashes, which is the same for all.
+3. The matrix holds the token union of each group's prefixes.  Of two similar classes, the first
+   ``min(ceil(LEAD * n), ceil(LEAD * m))`` common tokens are in both prefixes, and ``m >= ceil(t * n)``.  So a query
+   must meet ``ceil(LEAD * ceil(t * n))`` tokens of a group's union, else the group stays closed.
+4. An opened group first bounds the overlap with the union of its members' whole sets (at least
+   ``ceil(t * n)``), then computes the exact Jaccard similarities, in blocks of about ``PART`` tokens of queries.
+
+Every bound is one that all similar pairs meet, so none is lost, and whether a pair is found does not depend
+on other rows.  Each class is in one group and asks it in one block, so each link is counted once from either
+side.  Links leave a block as counts, and as a spanning forest for the connected components: never as all
+pairs.  In a family of k mutually similar, different texts the comparisons grow as k * k, as its links do.
+Similarities are of sets of 48-bit hashes.
+
+Result: one row for each document: ``doc_id``; ``class_id``, the least id among the documents that are
+connected with it by links; ``n_copies``, other documents of equal token set; ``n_links``, different token sets
+that are at least ``threshold`` similar.
+
+Defined results: null, empty and wordless texts match nothing, their class is their own id; null ids are
+compared, and the least id is taken among those that are not null (null if none is); repeated rows are copies
+of each other, each has its row; a similarity that equals the threshold is a link; very long texts are taken
+whole; an empty table gives an empty result.  Other columns are ignored by the join and pass through
 ``keep_one``, whatever their names.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,21 +44,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagequarry.llm._shared import checkpointed
-from pagequarry.llm._text import as_string_array, chunks, mix64, word_hashes
+from pagequarry.llm._shared import checkpointed, trimmed
+from pagequarry.llm._text import WORD_RE, as_string_array, chunks, mix64, word_hashes
 
 N = 3
 THRESHOLD = 0.6
-SKETCH = 32
-PICKS = 16
-SHARED = 0.25
-PART = 1024
-BOUND = 0.34
+LEAD = 0.1
+FLUSH = 1 << 21  # entries that a task sorts at once, and about those of a bucket
+CELLS = 1 << 18
+PART = 1 << 19
 BROADCAST_ROWS = 1_000_000
 _ROWS = 1 << 15  # documents at once: their numbers must fit in 16 bits beside 48 bits of hash
 _LOW = np.uint64((1 << 48) - 1)
 
 
+def least_shared(n, threshold: float):
+    """Tokens that a set of n must share with one that is similar to it."""
+    return np.ceil(threshold * np.asarray(n) - 1e-9).astype(np.int64)
+
+
+def prefix_size(n, threshold: float):
+    return np.asarray(n) - least_shared(n, threshold) + least_shared(n, min(LEAD, threshold))
+
+
+def least_met(n, threshold: float):
+    """Tokens of a set of n that its prefix must share with that of a similar one."""
+    return least_shared(least_shared(n, threshold), min(LEAD, threshold))
+
+
 def token_sets(arr: pa.Array, n: int = N) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For slices of the texts, in order: sorted distinct tokens (48 bits) and each text's offsets."""
     for at, to, part in chunks(arr):
@@ -79,166 +102,335 @@ def token_sets(arr: pa.Array, n: int = N) -> Iterator[tuple[np.ndarray, np.ndarr
             yield keys & _LOW, np.searchsorted(keys >> np.uint64(48), np.arange(len(own) + 1, dtype=np.uint64))
 
 
-def fingerprints(tokens: np.ndarray, offs: np.ndarray) -> list[bytes | None]:
-    """128 bits that stand for each token set; None for an empty one."""
+def fingerprints(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """(sets, 2) numbers that stand for each token set; those of an empty one mean nothing."""
+    out = np.zeros((len(offs) - 1, 2), np.uint64)
     some = np.flatnonzero(np.diff(offs))
-    out: list[bytes | None] = [None] * (len(offs) - 1)
     if len(some):
-        a = mix64(np.add.reduceat(mix64(tokens), offs[some]))
-        b = mix64(np.add.reduceat(mix64(tokens ^ np.uint64(0x5851F42D4C957F2D)), offs[some]))
-        for k, x in zip(some.tolist(), np.column_stack([a, b])):
-            out[k] = x.tobytes()
+        out[some, 0] = mix64(np.add.reduceat(mix64(tokens), offs[some]))
+        out[some, 1] = mix64(np.add.reduceat(mix64(tokens ^ np.uint64(0x5851F42D4C957F2D)), offs[some]))
     return out
 
 
+def _binary(rows: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """Rows of numbers as binary values."""
+    return pa.array([x.tobytes() if valid is None or valid[k] else None for k, x in enumerate(rows)], pa.binary())
+
+
+def _blobs(flat: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """Slices of one array as binary values."""
+    size = flat.dtype.itemsize
+    if int(offs[-1]) * size < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer((offs * size).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+    return pa.array([flat[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:])], pa.binary())
+
+
+def _unblob(col, kind) -> tuple[np.ndarray, np.ndarray]:
+    """One array and offsets of a column of binary values."""
+    arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    if isinstance(arr, pa.ChunkedArray):
+        arr = pa.concat_arrays(arr.chunks) if arr.num_chunks else pa.array([], pa.binary())
+    if not len(arr):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    offs = np.frombuffer(arr.buffers()[1], np.int32, len(arr) + 1, arr.offset * 4).astype(np.int64)
+    data = arr.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].view(kind) if data is not None and offs[-1] > offs[0] else np.zeros(0, kind)
+    return flat, (offs - offs[0]) // np.dtype(kind).itemsize
+
+
+def _gathered(flat: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of some rows, one after another, and their offsets."""
+    lens = offs[rows + 1] - offs[rows]
+    ends = np.concatenate([[0], np.cumsum(lens)])
+    return flat[np.repeat(offs[rows] - ends[:-1], lens) + np.arange(ends[-1])], ends
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, sketch) of every document with words."""
+    """(doc_id, fp) of every document; fp is null without words."""
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for tokens, offs in token_sets(as_string_array(batch.column(1))):
                 fps = fingerprints(tokens, offs)
-                ends = np.minimum(offs[1:], offs[:-1] + SKETCH)
-                lens = ends - offs[:-1]
-                first = np.repeat(offs[:-1] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-                sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(tokens[first].astype(np.int64)))
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(fps)), pa.array(fps, pa.binary()), sketch], names=["doc_id", "fp", "sketch"])
-                yield out.filter(pa.array(lens > 0))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(fps)), _binary(fps, np.diff(offs) > 0)], names=["doc_id", "fp"])
                 at += len(fps)
 
-    return slim.mapInArrow(run, f"doc_id {kind}, fp binary, sketch array<long>")
-
-
-def _searching(classes: DataFrame) -> DataFrame:
-    """(fp, tokens, group, need): what a class with enough shared picks searches with, its group, and how
-    many of its tokens a group must have."""
-    picks = F.slice("sketch", 1, PICKS)
-    each = classes.select("fp", F.size(picks).alias("size"), F.explode(picks).alias("token"))
-    shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    own = each.join(shared, "token").groupBy("fp").agg(F.first("size").alias("size"), F.collect_list(F.struct("df", "token")).alias("picks"))
-    need = F.ceil(F.col("size") * SHARED).cast("int")
-    own = own.select("fp", "picks", need.alias("need")).where(F.size("picks") >= F.col("need")).withColumn("top", F.array_max("picks"))
-    part = F.pmod(F.xxhash64("fp"), F.ceil(F.col("top.df") / PART).cast("long"))
-    return own.select("fp", F.col("picks.token").alias("tokens"), F.xxhash64(F.col("top.token"), part).alias("group"), "need")
-
-
-def _blocks(queries: DataFrame, members: DataFrame) -> DataFrame:
-    """(group, block, fp, query): the queries of each group in blocks, its members beside each block."""
-    n = queries.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").withColumn("n", F.ceil(F.col("n") / PART).cast("long"))  # else it holds but the query itself
-    q = queries.join(n, "group").select("group", F.pmod(F.xxhash64("fp"), F.col("n")).alias("block"), "fp", F.lit(True).alias("query"))
-    m = members.join(n, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"), "fp", F.lit(False).alias("query"))
-    return q.unionByName(m)
-
-
-def _ragged(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    arr = col.combine_chunks()
-    offs = arr.offsets.to_numpy().astype(np.int64)
-    return arr.values.to_numpy()[offs[0] : offs[-1]], offs - offs[0]
-
-
-def _open(table: pa.Table) -> pa.Table:
-    """The queries whose bound opens the group, and the members that any of them could be similar to."""
-    query = table["query"].to_numpy()
-    fps = np.array(table["fp"].to_pylist(), dtype=object)
-    tokens, offs = _ragged(table["sketch"])
-    lens = np.diff(offs)
-    row = np.repeat(np.arange(len(query)), lens)
-    _, code = np.unique(tokens, return_inverse=True)
-    keep = np.zeros(len(query), bool)
-
-    def bounded(asking: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        union = np.bincount(code[asked[row]], minlength=int(code.max()) + 1 if len(code) else 0)
-        own = np.isin(fps, fps[asked])  # who asks is itself among those asked: its own tokens don't count
-        hit = union[code] > own[row]
-        return asking & (np.bincount(row, hit, len(query)) >= BOUND * lens)
-
-    opening = bounded(query, ~query)
-    keep = opening
-    if opening.any():
-        keep = opening | bounded(~query, opening)
-    out = table.select(["group", "block", "fp", "query"])
-    return out.filter(pa.array(keep))
-
-
-def similar_pairs(classes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, jaccard) of similar classes, a < b."""
-    own = checkpointed(_searching(classes))
-    each = own.select("fp", "group", "need", F.explode("tokens").alias("token"))
-    matrix = each.select("group", "token").distinct()
-    met = each.select("fp", "need", "token").join(matrix, "token").groupBy("fp", "group").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    queries = checkpointed(met.where("n >= need").select("fp", "group"))
-    met = _blocks(queries, own.select("fp", "group")).join(classes.select("fp", "sketch"), "fp")
-    kinds = "group long, block long, fp binary, query boolean"
-    opened = checkpointed(met.groupBy("group", "block").applyInArrow(_open, kinds))
-    needed = opened.select("fp").distinct()
-    listed = {r["fp"] for r in needed.collect()} if needed.count() <= BROADCAST_ROWS else None
-    wanted = None if listed is None else frozenset(bytes(x) for x in listed)
-
+    return slim.mapInArrow(run, f"doc_id {kind}, fp binary")
+
+
+def survivors(texts: DataFrame, threshold: float) -> DataFrame:
+    """(cls) of the classes of which enough tokens are shared; cls is the first half of a fingerprint."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(16, max(0, math.ceil(math.log2(max(1, size / 6 / FLUSH)))))
+    to_bucket, to_low = np.uint64(64 - bits) if bits else None, np.uint64(64 - bits - 32)
+
+    def sent(parts: list[np.ndarray], classes: list[np.ndarray], sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, cls, size = np.concatenate(parts), np.concatenate(classes), np.concatenate(sizes)
+        keys.sort()  # token, then the class's number in the last 16 bits
+        token, own = keys >> np.uint64(16), (keys & np.uint64(0xFFFF)).astype(np.int64)
+        new = np.concatenate([[True], token[1:] != token[:-1]])
+        again = np.concatenate([~new[1:], [False]])
+        single = new & ~again
+        known = np.bincount(own[~single], minlength=len(cls)) - least_shared(size, threshold)
+        cells = [pa.array([-1 - int(cls[0] % np.uint64(1 << bits))], pa.int32()), _binary([known]), pa.array([b""], pa.binary()), _binary([cls]), pa.array([b""], pa.binary())]
+        names = ["bucket", "asked", "numbers", "cls", "told"]
+        yield pa.RecordBatch.from_arrays(cells, names=names)
+        bucket = np.zeros(len(keys), np.int64) if to_bucket is None else (keys >> to_bucket).astype(np.int64)
+        low = ((keys >> to_low) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        ends = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+        rows: list[list] = [[], [], [], [], []]
+        held = 0
+        for b in np.flatnonzero(np.diff(ends)).tolist():
+            at = slice(ends[b], ends[b + 1])
+            asks = single[at]
+            number = own[at][asks]
+            there = np.zeros(len(cls), bool)
+            there[number] = True
+            told = low[at][(new & again)[at]]
+            for cell, x in zip(rows, (b, low[at][asks].tobytes(), (np.cumsum(there) - 1)[number].astype(np.uint16).tobytes(), cls[there].tobytes(), told.tobytes())):
+                cell.append(x)
+            held += ends[b + 1] - ends[b]
+            if held > 1 << 18:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int32(), *[pa.binary()] * 4))], names=names)
+                rows, held = [[], [], [], [], []], 0
+        if rows[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int32(), *[pa.binary()] * 4))], names=names)
+
+    @trimmed
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, classes, sizes, done, n = [], [], [], set(), 0
+        for batch in batches:
+            for tokens, offs in token_sets(as_string_array(batch.column(0))):
+                cls = fingerprints(tokens, offs)[:, 0]
+                lens = np.diff(offs)
+                fresh = []
+                for k in np.flatnonzero(lens).tolist():
+                    c = int(cls[k])
+                    if c not in done:
+                        done.add(c)
+                        fresh.append(k)
+                if not fresh:
+                    continue
+                if len(done) >= 1 << 16:
+                    if parts:
+                        yield from sent(parts, classes, sizes)
+                    parts, classes, sizes, done, n = [], [], [], {int(cls[k]) for k in fresh}, 0
+                fresh = np.array(fresh)
+                flat, ends = _gathered(tokens, offs, fresh)
+                first = sum(map(len, classes))
+                parts.append((flat << np.uint64(16)) | np.repeat(np.arange(first, first + len(fresh), dtype=np.uint64), np.diff(ends)))
+                classes.append(cls[fresh]), sizes.append(lens[fresh])
+                n += len(flat)
+                if n >= FLUSH:
+                    yield from sent(parts, classes, sizes)
+                    parts, classes, sizes, done, n = [], [], [], set(), 0
+        if parts:
+            yield from sent(parts, classes, sizes)
+
+    @trimmed
+    def answer(table: pa.Table) -> pa.Table:
+        """(cls, balance): the shared tokens of a bucket, or those known before, less what is needed."""
+        classes, owners = _unblob(table["cls"], np.uint64)
+        if table["bucket"][0].as_py() < 0:
+            return pa.table({"cls": pa.array(classes.view(np.int64)), "balance": pa.array(_unblob(table["asked"], np.int64)[0])})
+        asked, offs = _unblob(table["asked"], np.uint32)
+        numbers, _ = _unblob(table["numbers"], np.uint16)
+        told, _ = _unblob(table["told"], np.uint32)
+        cls = classes[np.repeat(owners[:-1], np.diff(offs)) + numbers]
+        order = np.argsort(asked, kind="stable")
+        token, cls = asked[order], cls[order]
+        new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        if not len(new):
+            return pa.table({"cls": pa.array([], pa.int64()), "balance": pa.array([], pa.int64())})
+        shared = np.minimum.reduceat(cls, new) != np.maximum.reduceat(cls, new)
+        shared |= np.isin(token[new], told)
+        own, n = np.unique(cls[np.repeat(shared, np.diff(new, append=len(token)))], return_counts=True)
+        return pa.table({"cls": pa.array(own.view(np.int64)), "balance": pa.array(n.astype(np.int64))})
+
+    rows = texts.mapInArrow(ask, "bucket int, asked binary, numbers binary, cls binary, told binary")
+    return rows.groupBy("bucket").applyInArrow(answer, "cls long, balance long").groupBy("cls").agg(F.sum("balance").alias("balance")).where("balance >= 0").select("cls")
+
+
+def token_table(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, fp, size, tokens) of the wanted classes, once each; tokens are sorted 64-bit numbers."""
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    listed = None
+    if few:  # else all token sets are shuffled and joined
+        keys = np.sort(wanted.toArrow()["cls"].to_numpy())
+        listed = texts.sparkSession.sparkContext.broadcast(keys)
+
+    @trimmed
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[bytes] = set()
+        done: set[int] = set()
         for batch in batches:
             for tokens, offs in token_sets(as_string_array(batch.column(0))):
-                low = mix64(tokens).astype(np.uint32)
-                fps, blobs = [], []
-                for k, fp in enumerate(fingerprints(tokens, offs)):
-                    if fp is not None and (wanted is None or fp in wanted) and fp not in done:
-                        if len(done) < BROADCAST_ROWS:
-                            done.add(fp)
-                        fps.append(fp), blobs.append(low[offs[k] : offs[k + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(blobs, pa.binary())], names=["fp", "tokens"])
-
-    sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(whole, "fp binary, tokens binary")
-    if wanted is None:
-        sets = sets.join(needed, "fp", "left_semi")
-    sets = sets.groupBy("fp").agg(F.first("tokens").alias("tokens"))
+                fps = fingerprints(tokens, offs)
+                cls, lens = fps[:, 0].view(np.int64), np.diff(offs)
+                ok = lens > 0
+                if listed is not None:
+                    at = np.searchsorted(listed.value, cls)
+                    ok &= listed.value[np.minimum(at, len(listed.value) - 1)] == cls if len(listed.value) else False
+                rows = [k for k in np.flatnonzero(ok).tolist() if fps[k].tobytes() not in done]
+                if len(done) < 1 << 17:
+                    done.update(fps[k].tobytes() for k in rows)
+                if rows:
+                    rows = np.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), _binary(fps[rows]), pa.array(lens[rows]), _blobs(*_gathered(tokens, offs, rows))], names=["cls", "fp", "size", "tokens"])
+
+    sets = texts.mapInArrow(whole, "cls long, fp binary, size long, tokens binary")
+    if listed is None:
+        sets = sets.join(wanted, "cls", "left_semi")
+    return sets.groupBy("fp").agg(F.first("cls").alias("cls"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+
+
+def _prefixes(batch: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix tokens of all sets and their offsets."""
+    flat, offs = _unblob(batch.column(batch.schema.get_field_index("tokens")), np.uint64)
+    n = np.diff(offs)
+    ends = np.concatenate([[0], np.cumsum(prefix_size(n, threshold))])
+    return flat[np.repeat(offs[:-1] - ends[:-1], np.diff(ends)) + np.arange(ends[-1])], ends
+
+
+def _cell_counts(sets: DataFrame, threshold: float) -> np.ndarray:
+    """How many prefix tokens fall into each of CELLS cells; one vector a task, added in two levels."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            flat, _ = _prefixes(batch, threshold)
+            total += np.bincount((flat % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([_binary([total])], names=["v"])
 
-    def verify(table: pa.Table) -> pa.Table:
-        query = table["query"].to_numpy()
-        fps = table["fp"].to_pylist()
-        data = [np.frombuffer(b.as_buffer(), np.uint32) for b in table["tokens"]]
-        sizes = np.fromiter(map(len, data), np.int64, len(data))
-        members = np.flatnonzero(~query)
-        a, b, found = [], [], []
-        if len(members):
-            flat = np.concatenate([data[m] for m in members])
-            owner = np.repeat(np.arange(len(members)), sizes[members])
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            for q in np.flatnonzero(query):
-                lo, hi = np.searchsorted(flat, data[q]), np.searchsorted(flat, data[q], side="right")
-                lens = hi - lo
-                total = int(lens.sum())
-                if not total:
-                    continue
-                hits = owner[np.repeat(lo - (np.cumsum(lens) - lens), lens) + np.arange(total)]
-                both = np.bincount(hits, minlength=len(members))
-                share = both / (sizes[members] + sizes[q] - both)
-                for m in np.flatnonzero(share >= threshold):
-                    other = fps[members[m]]
-                    if fps[q] != other:
-                        a.append(min(fps[q], other)), b.append(max(fps[q], other)), found.append(float(share[m]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "jaccard": pa.array(found, pa.float64())})
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS, np.int64)
+        for blob in table["v"]:
+            total += np.frombuffer(blob.as_buffer(), np.int64)
+        return pa.table({"v": _binary([total])})
 
-    pairs = opened.join(sets, "fp").groupBy("group", "block").applyInArrow(verify, "a binary, b binary, jaccard double")
-    return pairs.distinct()
+    parts = sets.select("tokens").mapInArrow(trimmed(count), "v binary")
+    groups = max(1, math.isqrt(sets.rdd.getNumPartitions()))
+    rows = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups))).applyInArrow(add, "v binary").toLocalIterator()
+    return sum((np.frombuffer(r["v"], np.int64) for r in rows), np.zeros(CELLS, np.int64))
 
 
-def _classes(signed: DataFrame) -> DataFrame:
-    return signed.groupBy("fp").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"), F.count("*").alias("n_docs"), F.first("sketch").alias("sketch"))
+def grouped(sets: DataFrame, threshold: float) -> DataFrame:
+    """(cls, size, group) of the sets."""
+    cells = sets.sparkSession.sparkContext.broadcast(_cell_counts(sets, threshold))
 
+    @trimmed
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = _prefixes(batch, threshold)
+            if not len(flat):
+                continue
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            order = np.lexsort((flat, cells.value[(flat % np.uint64(CELLS)).astype(np.int64)], row))
+            best = flat[order[ends[1:] - 1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.view(np.int64))], names=["cls", "size", "top"])
+
+    own = checkpointed(sets.select("cls", "size", "tokens").mapInArrow(top, "cls long, size long, top long"))
+    parts = own.groupBy("top").agg(F.ceil(F.sum("size") / PART).cast("long").alias("parts"))
+    part = F.pmod(F.xxhash64("cls"), F.col("parts"))
+    return own.join(parts, "top").select("cls", "size", F.xxhash64("top", part).alias("group"))
+
+
+def opened(sets: DataFrame, threshold: float) -> DataFrame:
+    """(group, cls) of the queries that meet enough tokens of a group's union, and of all members of a group
+    that has several."""
+
+    @trimmed
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = _prefixes(batch, threshold)
+            lens = np.diff(ends)
+            row = pa.array(np.repeat(np.arange(batch.num_rows), lens))
+            need = np.repeat(least_met(batch.column(2).to_numpy(), threshold), lens)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(need.astype(np.int32)), pa.array(flat.view(np.int64))], names=["cls", "home", "need", "token"])
+
+    asks = sets.select("cls", "group", "size", "tokens").mapInArrow(prefix, "cls long, home long, need int, token long")
+    matrix = asks.select(F.col("home").alias("group"), "token").distinct()  # a group's members are in one partition
+    met = asks.join(matrix, "token").where(F.col("group") != F.col("home"))
+    met = met.groupBy("cls", "group").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("group", "cls")
+    many = sets.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    return met.unionByName(sets.select("group", "cls").join(many, "group").select("group", "cls"))
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Edges that connect what the given ones connect, without cycles."""
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = find(x), find(y)
+        if p != q:
+            parent[p] = q
+            out.append((x, y))
+    return out
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_ids, jaccard), see above."""
-    classes = checkpointed(_classes(signatures(docs)))
-    pairs = similar_pairs(classes.select("fp", "sketch"), docs, threshold)
-    ids = classes.select("fp", "doc_ids")
-    both = pairs.join(ids.select(F.col("fp").alias("a"), F.col("doc_ids").alias("x")), "a").join(ids.select(F.col("fp").alias("b"), F.col("doc_ids").alias("y")), "b")
-    rows = both.select(F.sort_array(F.concat("x", "y")).alias("doc_ids"), "jaccard")
-    same = classes.where("n_docs > 1").select("doc_ids", F.lit(1.0).alias("jaccard"))
-    return same.unionByName(rows).where(F.size("doc_ids") > 1)
+
+def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, n): a spanning forest of the similar classes by edges (a, b), n null; and of every class a
+    with links their number in a block, b null."""
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    wanted = checkpointed(survivors(texts, threshold))
+    sets = checkpointed(token_table(texts, wanted))
+    own = grouped(sets, threshold).select("cls", "group")
+    sets = checkpointed(sets.join(own, "cls").repartition("group"))
+    asking = checkpointed(opened(sets, threshold))
+    sizes = sets.select("cls", "size")
+    n = asking.join(sizes, "cls").groupBy("group").agg(F.ceil(F.sum("size") / PART).cast("long").alias("n"))
+    q = asking.join(n, "group").select("group", F.pmod(F.xxhash64("cls"), F.col("n")).alias("block"), "cls", F.lit(True).alias("query"))
+    m = sets.select("group", "cls").join(n, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"), "cls", F.lit(False).alias("query"))
+
+    def verify(table: pa.Table) -> pa.Table:
+        query = table["query"].to_numpy()
+        # the query row and the member row of a class are one node
+        node: dict[bytes, int] = {}
+        number = np.array([node.setdefault(f, len(node)) for f in table["fp"].to_pylist()], np.int64)
+        names = list(node)
+        flat, offs = _unblob(table["tokens"], np.uint64)
+        sizes = np.diff(offs)
+        members = np.flatnonzero(~query)
+        mine, ends = _gathered(flat, offs, members)
+        order = np.argsort(mine, kind="stable")
+        mine, owner = mine[order], np.repeat(np.arange(len(members)), np.diff(ends))[order]
+        first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, np.int64)
+        union, stop = mine[first], np.append(first[1:], len(mine))
+        a, b, found = [], [], []
+        for k in np.flatnonzero(query).tolist():
+            tokens = flat[offs[k] : offs[k + 1]]
+            at = np.searchsorted(union, tokens)
+            at[at == len(union)] = 0
+            at = at[union[at] == tokens] if len(union) else at[:0]
+            if len(at) < least_shared(sizes[k], threshold):
+                continue
+            lens = stop[at] - first[at]
+            hits = owner[np.repeat(first[at] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))]
+            both = np.bincount(hits, minlength=len(members))
+            near = np.flatnonzero(both / (sizes[members] + sizes[k] - both) >= threshold)
+            near = number[members[near]]
+            near = near[near != number[k]]
+            if len(near):
+                found.append((names[number[k]], len(near)))
+                a.append(np.full(len(near), number[k])), b.append(near)
+        edges = _forest(np.concatenate(a), np.concatenate(b), len(node)) if a else []
+        x = [min(names[i], names[j]) for i, j in edges] + [f for f, _ in found]
+        y = [max(names[i], names[j]) for i, j in edges] + [None] * len(found)
+        return pa.table({"a": pa.array(x, pa.binary()), "b": pa.array(y, pa.binary()), "n": pa.array([None] * len(edges) + [c for _, c in found], pa.int64())})
+
+    met = q.unionByName(m).join(sets.select("cls", "fp", "tokens"), "cls")
+    return met.groupBy("group", "block").applyInArrow(trimmed(verify), "a binary, b binary, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -257,7 +449,7 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where("a < b").distinct()
 
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    edges = checkpointed(edges.select("a", "b"))
+    edges = checkpointed(edges.select("a", "b").distinct())
     before = state(edges)
     while True:
         edges = checkpointed(star(star(edges, True), False))
@@ -267,13 +459,29 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_copies, n_links), see above."""
+    signed = checkpointed(signatures(docs))
+    found = checkpointed(links(docs, threshold))
+    roots = checkpointed(components(found.where("b IS NOT NULL")))
+    classes = signed.where("fp IS NOT NULL").groupBy("fp").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("least"))
+    counts = found.where("b IS NULL").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n_links"))
+    members = roots.union(roots.select("root", "root").distinct()).toDF("fp", "root")
+    best = members.join(classes, "fp").groupBy("root").agg(F.min("least").alias("class_id"))
+    info = classes.join(counts, "fp", "left").join(members, "fp", "left").join(best, "root", "left")
+    info = info.select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("class_id"), (F.col("n_docs") - 1).alias("n_copies"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    info = info.where("n_copies > 0 OR n_links > 0")  # the rest are alone
+    alone = F.lit(0).cast("long")
+    out = signed.join(info.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f"), "left")
+    return out.select("doc_id", F.when(F.col("f").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_copies", alone).alias("n_copies"), F.coalesce("n_links", alone).alias("n_links"))
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without those that are copies: of each connected group of similar documents the
     one of least id (null ids last, then by content) stays."""
     columns = docs.columns
-    signed = checkpointed(signatures(docs))
-    classes = _classes(signed)
-    roots = checkpointed(components(similar_pairs(classes.select("fp", "sketch"), docs, threshold)))
+    signed = checkpointed(signatures(docs).where("fp IS NOT NULL"))
+    roots = checkpointed(components(links(docs, threshold).where("b IS NOT NULL")))
     members = roots.union(roots.select("root", "root").distinct()).toDF("fp", "root")
     repeated = signed.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     # classes in groups, and classes of several documents that are groups of their own
@@ -282,11 +490,12 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     listed = checkpointed(grouped.join(best, "root").select(F.col("fp").alias("__fp"), (F.col("fp") == F.col("w.fp")).alias("__wins"), F.col("w.first").alias("__first")))
 
     @F.pandas_udf("binary")
-    def fp(text: pd.Series) -> pd.Series:
-        out: list[bytes | None] = []
-        for tokens, offs in token_sets(as_string_array(pa.array(text, pa.string(), from_pandas=True))):
-            out += fingerprints(tokens, offs)
-        return pd.Series(out, dtype=object)
+    def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            out: list[bytes | None] = []
+            for tokens, offs in token_sets(as_string_array(pa.array(text, pa.string(), from_pandas=True))):
+                out += _binary(fingerprints(tokens, offs), np.diff(offs) > 0).to_pylist()
+            yield pd.Series(out, dtype=object)
 
     # the row travels as one struct, so that its columns may have any names
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").alias("id"), fp(F.col("text").cast("string")).alias("own"))
@@ -309,4 +518,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-SQL = None
+_TOKENS = f"""
+    words AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_RE}') AS w FROM documents),
+    grams AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i : i + {N} - 1], ' '))) END AS g FROM words),
+    signed AS (SELECT doc_id, CASE WHEN len(g) > 0 THEN md5(array_to_string(list_sort(g), '|')) END AS fp, g FROM grams),
+    classes AS (SELECT fp, min(doc_id) AS least, count(*) - 1 AS n_copies, any_value(g) AS g FROM signed WHERE fp IS NOT NULL GROUP BY fp),
+    tokens AS (SELECT fp, len(g) AS size, unnest(g) AS token FROM classes)"""
+SQL = f"""
+WITH RECURSIVE {_TOKENS},
+    pairs AS (SELECT x.fp AS a, y.fp AS b FROM tokens x JOIN tokens y ON x.token = y.token AND x.fp <> y.fp
+        GROUP BY x.fp, y.fp, x.size, y.size HAVING count(*) / (x.size + y.size - count(*)) >= {THRESHOLD}),
+    reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+    best AS (SELECT reach.a AS fp, min(least) AS class_id FROM reach JOIN classes ON reach.b = classes.fp GROUP BY reach.a),
+    counts AS (SELECT a AS fp, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT doc_id, coalesce(best.class_id, classes.least, doc_id) AS class_id, coalesce(n_copies, 0) AS n_copies, coalesce(n_links, 0) AS n_links
+FROM signed LEFT JOIN classes USING (fp) LEFT JOIN best USING (fp) LEFT JOIN counts USING (fp)
+"""

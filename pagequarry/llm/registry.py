@@ -22,4 +22,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_ogg_media": op2_ogg.SQL,
     "op4_url_filter": op4_urlfilter.SQL,
     "op5_line_dedup": op5_lines.SQL,
+    "op6_jaccard_join": op6_jaccard.SQL,
 }

@@ -174,71 +174,80 @@ def _edited(seed, base, share):
     return " ".join(rng.choice(WORDS) if rng.random() < share else w for w in base.split())
 
 
-def test_jaccard_brute_force(spark):
-    texts = [prose(i) for i in range(30)] + [_edited(k, prose(k % 10, 300 if k % 3 else 40), 0.03 * (k % 5)) for k in range(150)]
-    texts += [prose(i, 60) + " " + prose(777, 60) for i in range(120)]  # a passage that many share
-    texts += [_edited(i, prose(999, 200), 0.02) for i in range(130)] + ["a b", "a b", "b a", None, ""]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = {}
+def _links(texts):
+    """{row: (class_id, n_copies, n_links)} and the similarities, by comparing all pairs."""
+    sets, classes, near = {}, defaultdict(list), defaultdict(set)
     for i, t in enumerate(texts):
         w = (t or "").split()
-        s = frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if w else frozenset()
-        if s:
-            sets[i] = s
-    classes = defaultdict(list)
-    for i, s in sets.items():
-        classes[s].append(i)
+        if w:
+            sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2)))
+            classes[sets[i]].append(i)
     own = list(classes)
-    want = {tuple(v) for v in classes.values() if len(v) > 1}
     for a in range(len(own)):
         for b in range(a):
             if len(own[a] & own[b]) / len(own[a] | own[b]) >= op6_jaccard.THRESHOLD:
-                want.add(tuple(sorted(classes[own[a]] + classes[own[b]])))
-    got = {tuple(r.doc_ids) for r in op6_jaccard.jaccard_join(docs).collect()}
-    assert got <= want and len(got) >= 0.98 * len(want)
-    parent = list(range(len(texts)))
+                near[a].add(b), near[b].add(a)
+    root = {}
+    for a in range(len(own)):
+        if a not in root:
+            todo, seen = [a], {a}
+            while todo:
+                todo += (new := near[todo.pop()] - seen)
+                seen |= new
+            root |= dict.fromkeys(seen, min(i for k in seen for i in classes[own[k]]))
+    number = {s: k for k, s in enumerate(own)}
+    return {i: (root[number[sets[i]]], len(classes[sets[i]]) - 1, len(near[number[sets[i]]])) if i in sets else (i, 0, 0) for i in range(len(texts))}
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for g in got:
-        for x in g:
-            a, b = sorted((find(g[0]), find(x)))
-            parent[b] = a
+def _mixed():
+    texts = [prose(i) for i in range(30)] + [_edited(k, prose(k % 10, 300 if k % 3 else 40), 0.03 * (k % 5)) for k in range(150)]
+    texts += [prose(i, 60) + " " + prose(777, 60) for i in range(120)]  # a passage that many share
+    return texts + [_edited(i, prose(999, 200), 0.02) for i in range(130)] + ["a b", "a b", "b a", None, "", "x", "x y x y x y", "y x y x y x"]
+
+
+@pytest.mark.parametrize("part, flush, broadcast", [(1 << 19, 1 << 21, 10**6), (3000, 500, 0)])
+def test_jaccard_brute_force(spark, monkeypatch, part, flush, broadcast):
+    """Small parts, buckets and joins in place of broadcasts give the same."""
+    monkeypatch.setattr(op6_jaccard, "PART", part), monkeypatch.setattr(op6_jaccard, "FLUSH", flush), monkeypatch.setattr(op6_jaccard, "BROADCAST_ROWS", broadcast)
+    texts = _mixed()
+    want = _links(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in op6_jaccard.jaccard_join(docs).collect()}
+    assert got == want
     kept = sorted(r.doc_id for r in op6_jaccard.keep_one(docs).collect())
-    assert kept == [i for i in range(len(texts)) if find(i) == i]
+    assert kept == [i for i in range(len(texts)) if want[i][0] == i]
 
 
-def test_jaccard_large_family(spark):
-    """Documents that hold a core of many near copies and text of their own, similar to the copies only."""
-    core = prose(787, 300)
-    texts = [" ".join([*core.split()[: 2 * i], f"x{i}", *core.split()[2 * i + 1 :]]) for i in range(130)] + [core + " " + prose(10_000 + i, 150 + i % 30) for i in range(120)]
+@pytest.mark.parametrize("threshold", [0.05, 0.3, 0.9, 1.0])
+def test_jaccard_thresholds(spark, monkeypatch, threshold):
+    monkeypatch.setattr(op6_jaccard, "THRESHOLD", threshold)
+    texts = _mixed()[::3]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [frozenset(zip(w, w[1:], w[2:])) for w in map(str.split, texts)]
-    want = {(a, b): j for b in range(len(texts)) for a in range(b) if 1 > (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= op6_jaccard.THRESHOLD}
-    mixed = {p for p in want if p[0] < 130 <= p[1]}
-    assert len({b for _, b in mixed}) > 100 and max(want[p] for p in mixed) < 0.7
-    got = {(a, b) for r in op6_jaccard.jaccard_join(docs).collect() for a in r.doc_ids for b in r.doc_ids if a < 130 <= b}
-    assert got <= mixed and {b for _, b in got} == {b for _, b in mixed} and len(got) >= 0.99 * len(mixed)
+    got = {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in op6_jaccard.jaccard_join(docs, threshold).collect()}
+    assert got == _links(texts)
 
 
-@pytest.mark.parametrize("asking", ["min", "max"])
-def test_jaccard_either_direction(spark, monkeypatch, asking):
-    blocks = op6_jaccard._blocks
-
-    def one_sided(queries, members):
-        only = queries.agg(F.expr(f"{asking}(fp)")).first()[0]
-        return blocks(queries, members).where(~F.col("query") | (F.col("fp") == F.lit(bytes(only))))
-
-    monkeypatch.setattr(op6_jaccard, "_blocks", one_sided)
-    docs = spark.createDataFrame([(1, prose(1) + " a"), (2, prose(1) + " b")], "doc_id long, text string")
-    assert [r.doc_ids for r in op6_jaccard.jaccard_join(docs).collect()] == [[1, 2]]
+def test_jaccard_large_family(spark):
+    """A passage that 800 documents share, each with own text, all pairs at a similarity just above the
+    threshold; then the same beside other documents, among them holders of a part of the passage."""
+    core = prose(787, 302, WIDE)
+    family = [core + " " + prose(10_000 + i, 80, WIDE) for i in range(800)]
+    sets = [frozenset(zip(w, w[1:], w[2:])) for w in map(str.split, family[:40])]
+    assert all(0.6 <= len(x & y) / len(x | y) < 0.67 for x in sets for y in sets if x is not y)
+    others = [core[:600] + " " + prose(30_000 + i, 150, WIDE) for i in range(300)] + [core] * 50 + [prose(50_000 + i, 90, WIDE) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(family)), "doc_id long, text string")
+    assert {(r.class_id, r.n_copies, r.n_links) for r in op6_jaccard.jaccard_join(docs).collect()} == {(0, 0, 799)}
+    assert [r.doc_id for r in op6_jaccard.keep_one(docs).collect()] == [0]
+    more = docs.union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(others)], docs.schema))
+    got = {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in op6_jaccard.jaccard_join(more).collect()}
+    assert {got[i] for i in range(800)} == {(0, 0, 800)} and {got[1300 + i] for i in range(50)} == {(0, 49, 800)}
+    assert all(got[1000 + i] == (1000 + i, 0, 0) for i in [*range(300), *range(350, 550)])
 
 
 def test_jaccard_edges(spark, odd):
-    assert sorted(map(tuple, [r.doc_ids for r in op6_jaccard.jaccard_join(odd).collect()])) == [(5, 5, 6)]
+    got = Counter((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in op6_jaccard.jaccard_join(odd).collect())
+    alone = {(i, i, 0, 0): 1 for i in (1, 2, 3, 4, 7, 8, 9, 10)}
+    assert got == {**alone, (5, 5, 3, 0): 2, (6, 5, 3, 0): 1, (None, 5, 3, 0): 1, (None, None, 0, 0): 2}
     kept = op6_jaccard.keep_one(odd)
     assert kept.columns == odd.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 5, 7, 8, 9, 10, None, None])
