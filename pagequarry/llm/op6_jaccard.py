@@ -50,7 +50,8 @@ from pagequarry.llm._text import WORD_RE, as_string_array, chunks, mix64, word_h
 N = 3
 THRESHOLD = 0.6
 LEAD = 0.1
-FLUSH = 1 << 21  # entries that a task sorts at once, and about those of a bucket
+FLUSH = 1 << 21  # entries that a task sorts at once
+BUCKET = 1 << 22  # entries of a bucket, about
 CELLS = 1 << 18
 PART = 1 << 19
 BROADCAST_ROWS = 1_000_000
@@ -138,6 +139,19 @@ def _unblob(col, kind) -> tuple[np.ndarray, np.ndarray]:
     return flat, (offs - offs[0]) // np.dtype(kind).itemsize
 
 
+def _packed(tokens: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """Token sets as binary values of six bytes a token."""
+    six = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6])
+    return _blobs(six.ravel(), offs * 6)
+
+
+def _unpacked(col) -> tuple[np.ndarray, np.ndarray]:
+    flat, offs = _unblob(col, np.uint8)
+    eight = np.zeros((len(flat) // 6, 8), np.uint8)
+    eight[:, :6] = flat.reshape(-1, 6)
+    return eight.view(np.uint64).ravel(), offs // 6
+
+
 def _gathered(flat: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slices of some rows, one after another, and their offsets."""
     lens = offs[rows + 1] - offs[rows]
@@ -165,7 +179,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 def survivors(texts: DataFrame, threshold: float) -> DataFrame:
     """(cls) of the classes of which enough tokens are shared; cls is the first half of a fingerprint."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, max(0, math.ceil(math.log2(max(1, size / 6 / FLUSH)))))
+    bits = min(16, max(0, math.ceil(math.log2(max(1, size / 6 / BUCKET)))))
     to_bucket, to_low = np.uint64(64 - bits) if bits else None, np.uint64(64 - bits - 32)
 
     def sent(parts: list[np.ndarray], classes: list[np.ndarray], sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +191,7 @@ def survivors(texts: DataFrame, threshold: float) -> DataFrame:
         single = new & ~again
         known = np.bincount(own[~single], minlength=len(cls)) - least_shared(size, threshold)
         cells = [pa.array([-1 - int(cls[0] % np.uint64(1 << bits))], pa.int32()), _binary([known]), pa.array([b""], pa.binary()), _binary([cls]), pa.array([b""], pa.binary())]
-        names = ["bucket", "asked", "numbers", "cls", "told"]
+        names = ["bucket", "asked", "counts", "cls", "told"]
         yield pa.RecordBatch.from_arrays(cells, names=names)
         bucket = np.zeros(len(keys), np.int64) if to_bucket is None else (keys >> to_bucket).astype(np.int64)
         low = ((keys >> to_low) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -187,11 +201,15 @@ def survivors(texts: DataFrame, threshold: float) -> DataFrame:
         for b in np.flatnonzero(np.diff(ends)).tolist():
             at = slice(ends[b], ends[b + 1])
             asks = single[at]
-            number = own[at][asks]
-            there = np.zeros(len(cls), bool)
-            there[number] = True
+            number = (keys[at][asks] & np.uint64(0xFFFF)).astype(np.uint16)
+            n = np.bincount(number, minlength=len(cls))
+            there = np.flatnonzero(n)
+            # a class of more than 255 askers is listed again
+            times = -(-n[there] // 255)
+            counts = np.full(int(times.sum()), 255, np.uint8)
+            counts[np.cumsum(times) - 1] = n[there] - 255 * (times - 1)
             told = low[at][(new & again)[at]]
-            for cell, x in zip(rows, (b, low[at][asks].tobytes(), (np.cumsum(there) - 1)[number].astype(np.uint16).tobytes(), cls[there].tobytes(), told.tobytes())):
+            for cell, x in zip(rows, (b, low[at][asks][np.argsort(number, kind="stable")].tobytes(), counts.tobytes(), np.repeat(cls[there], times).tobytes(), told.tobytes())):
                 cell.append(x)
             held += ends[b + 1] - ends[b]
             if held > 1 << 18:
@@ -234,13 +252,12 @@ def survivors(texts: DataFrame, threshold: float) -> DataFrame:
     @trimmed
     def answer(table: pa.Table) -> pa.Table:
         """(cls, balance): the shared tokens of a bucket, or those known before, less what is needed."""
-        classes, owners = _unblob(table["cls"], np.uint64)
+        classes, _ = _unblob(table["cls"], np.uint64)
         if table["bucket"][0].as_py() < 0:
             return pa.table({"cls": pa.array(classes.view(np.int64)), "balance": pa.array(_unblob(table["asked"], np.int64)[0])})
-        asked, offs = _unblob(table["asked"], np.uint32)
-        numbers, _ = _unblob(table["numbers"], np.uint16)
+        asked, _ = _unblob(table["asked"], np.uint32)
         told, _ = _unblob(table["told"], np.uint32)
-        cls = classes[np.repeat(owners[:-1], np.diff(offs)) + numbers]
+        cls = np.repeat(classes, _unblob(table["counts"], np.uint8)[0])
         order = np.argsort(asked, kind="stable")
         token, cls = asked[order], cls[order]
         new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
@@ -251,12 +268,12 @@ def survivors(texts: DataFrame, threshold: float) -> DataFrame:
         own, n = np.unique(cls[np.repeat(shared, np.diff(new, append=len(token)))], return_counts=True)
         return pa.table({"cls": pa.array(own.view(np.int64)), "balance": pa.array(n.astype(np.int64))})
 
-    rows = texts.mapInArrow(ask, "bucket int, asked binary, numbers binary, cls binary, told binary")
+    rows = texts.mapInArrow(ask, "bucket int, asked binary, counts binary, cls binary, told binary")
     return rows.groupBy("bucket").applyInArrow(answer, "cls long, balance long").groupBy("cls").agg(F.sum("balance").alias("balance")).where("balance >= 0").select("cls")
 
 
 def token_table(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, fp, size, tokens) of the wanted classes, once each; tokens are sorted 64-bit numbers."""
+    """(cls, fp, size, tokens) of the wanted classes, once each; tokens are sorted and packed."""
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     listed = None
     if few:  # else all token sets are shuffled and joined
@@ -279,7 +296,7 @@ def token_table(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     done.update(fps[k].tobytes() for k in rows)
                 if rows:
                     rows = np.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), _binary(fps[rows]), pa.array(lens[rows]), _blobs(*_gathered(tokens, offs, rows))], names=["cls", "fp", "size", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), _binary(fps[rows]), pa.array(lens[rows]), _packed(*_gathered(tokens, offs, rows))], names=["cls", "fp", "size", "tokens"])
 
     sets = texts.mapInArrow(whole, "cls long, fp binary, size long, tokens binary")
     if listed is None:
@@ -289,7 +306,7 @@ def token_table(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _prefixes(batch: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Prefix tokens of all sets and their offsets."""
-    flat, offs = _unblob(batch.column(batch.schema.get_field_index("tokens")), np.uint64)
+    flat, offs = _unpacked(batch.column(batch.schema.get_field_index("tokens")))
     n = np.diff(offs)
     ends = np.concatenate([[0], np.cumsum(prefix_size(n, threshold))])
     return flat[np.repeat(offs[:-1] - ends[:-1], np.diff(ends)) + np.arange(ends[-1])], ends
@@ -319,7 +336,7 @@ def _cell_counts(sets: DataFrame, threshold: float) -> np.ndarray:
 
 
 def grouped(sets: DataFrame, threshold: float) -> DataFrame:
-    """(cls, size, group) of the sets."""
+    """The sets with their group; a group is in one partition."""
     cells = sets.sparkSession.sparkContext.broadcast(_cell_counts(sets, threshold))
 
     @trimmed
@@ -331,12 +348,14 @@ def grouped(sets: DataFrame, threshold: float) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
             order = np.lexsort((flat, cells.value[(flat % np.uint64(CELLS)).astype(np.int64)], row))
             best = flat[order[ends[1:] - 1]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.view(np.int64))], names=["cls", "size", "top"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.view(np.int64))], names=[*batch.schema.names, "top"])
 
-    own = checkpointed(sets.select("cls", "size", "tokens").mapInArrow(top, "cls long, size long, top long"))
-    parts = own.groupBy("top").agg(F.ceil(F.sum("size") / PART).cast("long").alias("parts"))
-    part = F.pmod(F.xxhash64("cls"), F.col("parts"))
-    return own.join(parts, "top").select("cls", "size", F.xxhash64("top", part).alias("group"))
+    kinds = "fp binary, cls long, size long, tokens binary, top long"
+    tops = sets.select("fp", "cls", "size", "tokens").mapInArrow(top, kinds)
+    parts = checkpointed(tops.groupBy("top").agg(F.ceil(F.sum("size") / PART).cast("long").alias("parts")).where("parts > 1"))
+    known = F.broadcast(parts) if parts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else parts
+    part = F.pmod(F.xxhash64("cls"), F.coalesce("parts", F.lit(1).cast("long")))
+    return tops.join(known, "top", "left").select("fp", "cls", "size", "tokens", F.xxhash64("top", part).alias("group")).repartition("group")
 
 
 def opened(sets: DataFrame, threshold: float) -> DataFrame:
@@ -385,23 +404,19 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = docs.select(F.col("text").cast("string").alias("text"))
     wanted = checkpointed(survivors(texts, threshold))
     sets = checkpointed(token_table(texts, wanted))
-    own = grouped(sets, threshold).select("cls", "group")
-    sets = checkpointed(sets.join(own, "cls").repartition("group"))
+    sets = checkpointed(grouped(sets, threshold))
     asking = checkpointed(opened(sets, threshold))
     sizes = sets.select("cls", "size")
     n = asking.join(sizes, "cls").groupBy("group").agg(F.ceil(F.sum("size") / PART).cast("long").alias("n"))
-    q = asking.join(n, "group").select("group", F.pmod(F.xxhash64("cls"), F.col("n")).alias("block"), "cls", F.lit(True).alias("query"))
-    m = sets.select("group", "cls").join(n, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"), "cls", F.lit(False).alias("query"))
+    q = asking.join(n, "group").select("group", F.pmod(F.xxhash64("cls"), F.col("n")).alias("block"), "cls", F.lit(True).alias("query"), F.lit(False).alias("member"))
+    m = sets.select("group", "cls").join(n, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"), "cls", F.lit(False).alias("query"), F.lit(True).alias("member"))
 
     def verify(table: pa.Table) -> pa.Table:
         query = table["query"].to_numpy()
-        # the query row and the member row of a class are one node
-        node: dict[bytes, int] = {}
-        number = np.array([node.setdefault(f, len(node)) for f in table["fp"].to_pylist()], np.int64)
-        names = list(node)
-        flat, offs = _unblob(table["tokens"], np.uint64)
+        names = table["fp"].to_pylist()
+        flat, offs = _unpacked(table["tokens"])
         sizes = np.diff(offs)
-        members = np.flatnonzero(~query)
+        members = np.flatnonzero(table["member"].to_numpy())
         mine, ends = _gathered(flat, offs, members)
         order = np.argsort(mine, kind="stable")
         mine, owner = mine[order], np.repeat(np.arange(len(members)), np.diff(ends))[order]
@@ -419,17 +434,19 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             hits = owner[np.repeat(first[at] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))]
             both = np.bincount(hits, minlength=len(members))
             near = np.flatnonzero(both / (sizes[members] + sizes[k] - both) >= threshold)
-            near = number[members[near]]
-            near = near[near != number[k]]
+            near = members[near]
+            near = near[near != k]
             if len(near):
-                found.append((names[number[k]], len(near)))
-                a.append(np.full(len(near), number[k])), b.append(near)
-        edges = _forest(np.concatenate(a), np.concatenate(b), len(node)) if a else []
+                found.append((names[k], len(near)))
+                a.append(np.full(len(near), k)), b.append(near)
+        edges = _forest(np.concatenate(a), np.concatenate(b), len(names)) if a else []
         x = [min(names[i], names[j]) for i, j in edges] + [f for f, _ in found]
         y = [max(names[i], names[j]) for i, j in edges] + [None] * len(found)
         return pa.table({"a": pa.array(x, pa.binary()), "b": pa.array(y, pa.binary()), "n": pa.array([None] * len(edges) + [c for _, c in found], pa.int64())})
 
-    met = q.unionByName(m).join(sets.select("cls", "fp", "tokens"), "cls")
+    # a class that asks the group of which it is a member travels there once
+    met = q.unionByName(m).groupBy("group", "block", "cls").agg(F.max("query").alias("query"), F.max("member").alias("member"))
+    met = met.join(sets.select("cls", "fp", "tokens"), "cls")
     return met.groupBy("group", "block").applyInArrow(trimmed(verify), "a binary, b binary, n long")
 
 

@@ -205,10 +205,10 @@ def _mixed():
     return texts + [_edited(i, prose(999, 200), 0.02) for i in range(130)] + ["a b", "a b", "b a", None, "", "x", "x y x y x y", "y x y x y x"]
 
 
-@pytest.mark.parametrize("part, flush, broadcast", [(1 << 19, 1 << 21, 10**6), (3000, 500, 0)])
-def test_jaccard_brute_force(spark, monkeypatch, part, flush, broadcast):
+@pytest.mark.parametrize("part, bucket, broadcast", [(1 << 19, 1 << 22, 10**6), (3000, 500, 0)])
+def test_jaccard_brute_force(spark, monkeypatch, part, bucket, broadcast):
     """Small parts, buckets and joins in place of broadcasts give the same."""
-    monkeypatch.setattr(op6_jaccard, "PART", part), monkeypatch.setattr(op6_jaccard, "FLUSH", flush), monkeypatch.setattr(op6_jaccard, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(op6_jaccard, "PART", part), monkeypatch.setattr(op6_jaccard, "BUCKET", bucket), monkeypatch.setattr(op6_jaccard, "BROADCAST_ROWS", broadcast)
     texts = _mixed()
     want = _links(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
