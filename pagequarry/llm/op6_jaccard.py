@@ -10,7 +10,8 @@ Documents with equal token sets form one class and are compared once.
    of all documents hold sends one entry a flush.  Buckets compare 32 further bits, which can only make
    more tokens look shared, so no class that has a partner is lost.
 2. Groups.  A survivor joins the group of that token of its prefix which is most frequent by a table of
-   ``CELLS`` counts; groups are cut into parts of about ``PART`` tokens.  The prefix are the first
+   ``CELLS`` counts; groups of one family are joined, and cut into parts of about ``PART`` tokens.  How classes
+   are grouped decides the cost, not the result.  The prefix are the first
    ``n - ceil(t * n) + ceil(LEAD * n)`` tokens in the order of the hashes, which is the same for all.
 3. The matrix holds the token union of each group's prefixes.  Of two similar classes, the first
    ``min(ceil(LEAD * n), ceil(LEAD * m))`` common tokens are in both prefixes, and ``m >= ceil(t * n)``.  So a query
@@ -53,7 +54,7 @@ LEAD = 0.1
 FLUSH = 1 << 21  # entries that a task sorts at once
 BUCKET = 1 << 22  # entries of a bucket, about
 CELLS = 1 << 18
-PART = 1 << 19
+PART = 1 << 20
 BROADCAST_ROWS = 1_000_000
 _ROWS = 1 << 15  # documents at once: their numbers must fit in 16 bits beside 48 bits of hash
 _LOW = np.uint64((1 << 48) - 1)
@@ -347,15 +348,28 @@ def grouped(sets: DataFrame, threshold: float) -> DataFrame:
                 continue
             row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
             order = np.lexsort((flat, cells.value[(flat % np.uint64(CELLS)).astype(np.int64)], row))
-            best = flat[order[ends[1:] - 1]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.view(np.int64))], names=[*batch.schema.names, "top"])
+            best = flat[order[ends[1:] - 1]].view(np.int64)
+            second = flat[order[np.maximum(ends[1:] - 2, 0)]].view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best), pa.array(second, mask=np.diff(ends) < 2)], names=[*batch.schema.names, "top", "second"])
 
-    kinds = "fp binary, cls long, size long, tokens binary, top long"
+    kinds = "fp binary, cls long, size long, tokens binary, top long, second long"
     tops = sets.select("fp", "cls", "size", "tokens").mapInArrow(top, kinds)
-    parts = checkpointed(tops.groupBy("top").agg(F.ceil(F.sum("size") / PART).cast("long").alias("parts")).where("parts > 1"))
-    known = F.broadcast(parts) if parts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else parts
+    slim = checkpointed(tops.select("size", "top", "second"))
+    own = slim.groupBy("top").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    # a top whose classes are no more than those that have it second joins the group of their top: these are
+    # members of one family, some of which lack its most frequent token; tops rise in frequency, so there are no rings
+    both = slim.where("second IS NOT NULL").groupBy(F.col("top").alias("root"), F.col("second").alias("top")).agg(F.count("*").alias("both"))
+    up = checkpointed(both.join(own, "top").where("both >= n").groupBy("top").agg(F.max_by("root", F.struct("both", "root")).alias("root")))
+    for _ in range(2):  # four steps up
+        higher = up.select(F.col("top").alias("root"), F.col("root").alias("higher"))
+        up = up.join(higher, "root", "left").select("top", F.coalesce("higher", "root").alias("root"))
+    rooted = checkpointed(own.join(up, "top", "left").select("top", F.coalesce("root", "top").alias("root"), "size"))
+    parts = rooted.groupBy("root").agg(F.ceil(F.sum("size") / PART).cast("long").alias("parts"))
+    moved = checkpointed(rooted.join(parts, "root").where("root <> top OR parts > 1").select("top", "root", "parts"))
+    known = F.broadcast(moved) if moved.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else moved
     part = F.pmod(F.xxhash64("cls"), F.coalesce("parts", F.lit(1).cast("long")))
-    return tops.join(known, "top", "left").select("fp", "cls", "size", "tokens", F.xxhash64("top", part).alias("group")).repartition("group")
+    group = F.xxhash64(F.coalesce("root", "top"), part)
+    return tops.join(known, "top", "left").select("fp", "cls", "size", "tokens", group.alias("group")).repartition("group")
 
 
 def opened(sets: DataFrame, threshold: float) -> DataFrame:
