@@ -9,10 +9,11 @@ Documents with equal token sets form one class and are compared once.
    whatever the number of its holders; all others ask their bucket.  So a token, and a text, that a third
    of all documents hold sends one entry a flush.  Buckets compare 32 further bits, which can only make
    more tokens look shared, so no class that has a partner is lost.
-2. Groups.  A survivor joins the group of that token of its prefix which is most frequent by a table of
+2. Groups.  A survivor joins the group of that of its tokens which is most frequent by a table of
    ``CELLS`` counts; groups of one family are joined, and cut into parts of about ``PART`` tokens.  How classes
-   are grouped decides the cost, not the result.  The prefix are the first
-   ``n - ceil(t * n) + ceil(LEAD * n)`` tokens in the order of the hashes, which is the same for all.
+   are grouped decides the cost, not the result.  A set's prefix are the first
+   ``n - ceil(t * n) + ceil(LEAD * n)`` tokens in the order of that table, rare ones first, then of the hashes:
+   an order that is the same for all.
 3. The matrix holds the token union of each group's prefixes.  Of two similar classes, the first
    ``min(ceil(LEAD * n), ceil(LEAD * m))`` common tokens are in both prefixes, and ``m >= ceil(t * n)``.  So a query
    must meet ``ceil(LEAD * ceil(t * n))`` tokens of a group's union, else the group stays closed.
@@ -305,21 +306,20 @@ def token_table(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.groupBy("fp").agg(F.first("cls").alias("cls"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
 
 
-def _prefixes(batch: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix tokens of all sets and their offsets."""
+def _ordered(batch: pa.RecordBatch, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all sets, each set's rarest by the table of counts first, and their offsets."""
     flat, offs = _unpacked(batch.column(batch.schema.get_field_index("tokens")))
-    n = np.diff(offs)
-    ends = np.concatenate([[0], np.cumsum(prefix_size(n, threshold))])
-    return flat[np.repeat(offs[:-1] - ends[:-1], np.diff(ends)) + np.arange(ends[-1])], ends
+    row = np.repeat(np.arange(batch.num_rows), np.diff(offs))
+    return flat[np.lexsort((cells[(flat % np.uint64(CELLS)).astype(np.int64)], row))], offs  # stable: then by hash
 
 
-def _cell_counts(sets: DataFrame, threshold: float) -> np.ndarray:
-    """How many prefix tokens fall into each of CELLS cells; one vector a task, added in two levels."""
+def cell_counts(sets: DataFrame) -> np.ndarray:
+    """How many tokens fall into each of CELLS cells; one vector a task, added in two levels."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            flat, _ = _prefixes(batch, threshold)
+            flat, _ = _unpacked(batch.column(0))
             total += np.bincount((flat % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         if total.any():
             yield pa.RecordBatch.from_arrays([_binary([total])], names=["v"])
@@ -336,21 +336,18 @@ def _cell_counts(sets: DataFrame, threshold: float) -> np.ndarray:
     return sum((np.frombuffer(r["v"], np.int64) for r in rows), np.zeros(CELLS, np.int64))
 
 
-def grouped(sets: DataFrame, threshold: float) -> DataFrame:
-    """The sets with their group; a group is in one partition."""
-    cells = sets.sparkSession.sparkContext.broadcast(_cell_counts(sets, threshold))
+def grouped(sets: DataFrame, threshold: float, cells) -> DataFrame:
+    """The sets with their group; a group is in one partition.  ``cells`` is the broadcast table of counts."""
 
     @trimmed
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, ends = _prefixes(batch, threshold)
-            if not len(flat):
+            if not batch.num_rows:
                 continue
-            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            order = np.lexsort((flat, cells.value[(flat % np.uint64(CELLS)).astype(np.int64)], row))
-            best = flat[order[ends[1:] - 1]].view(np.int64)
-            second = flat[order[np.maximum(ends[1:] - 2, 0)]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best), pa.array(second, mask=np.diff(ends) < 2)], names=[*batch.schema.names, "top", "second"])
+            flat, offs = _ordered(batch, cells.value)
+            best = flat[offs[1:] - 1].view(np.int64)
+            second = flat[np.maximum(offs[1:] - 2, 0)].view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best), pa.array(second, mask=np.diff(offs) < 2)], names=[*batch.schema.names, "top", "second"])
 
     kinds = "fp binary, cls long, size long, tokens binary, top long, second long"
     tops = sets.select("fp", "cls", "size", "tokens").mapInArrow(top, kinds)
@@ -372,21 +369,43 @@ def grouped(sets: DataFrame, threshold: float) -> DataFrame:
     return tops.join(known, "top", "left").select("fp", "cls", "size", "tokens", group.alias("group")).repartition("group")
 
 
-def opened(sets: DataFrame, threshold: float) -> DataFrame:
+def opened(sets: DataFrame, threshold: float, cells) -> DataFrame:
     """(group, cls) of the queries that meet enough tokens of a group's union, and of all members of a group
     that has several."""
 
     @trimmed
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, ends = _prefixes(batch, threshold)
-            lens = np.diff(ends)
+            flat, offs = _ordered(batch, cells.value)
+            lens = prefix_size(np.diff(offs), threshold)
+            ends = np.concatenate([[0], np.cumsum(lens)])
+            flat = flat[np.repeat(offs[:-1] - ends[:-1], lens) + np.arange(ends[-1])]
             row = pa.array(np.repeat(np.arange(batch.num_rows), lens))
             need = np.repeat(least_met(batch.column(2).to_numpy(), threshold), lens)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(need.astype(np.int32)), pa.array(flat.view(np.int64))], names=["cls", "home", "need", "token"])
 
+    @trimmed
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def rows() -> pa.RecordBatch:
+            one = np.concatenate(held)
+            held.clear()
+            one = one[np.lexsort((one[:, 1], one[:, 0]))]
+            one = one[np.concatenate([[True], (one[1:] != one[:-1]).any(1)])]
+            return pa.RecordBatch.from_arrays([pa.array(one[:, 0]), pa.array(one[:, 1])], names=["group", "token"])
+
+        for batch in batches:
+            held.append(np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+            if sum(map(len, held)) >= FLUSH:
+                yield rows()
+        if held:
+            yield rows()
+
     asks = sets.select("cls", "group", "size", "tokens").mapInArrow(prefix, "cls long, home long, need int, token long")
-    matrix = asks.select(F.col("home").alias("group"), "token").distinct()  # a group's members are in one partition
+    # a group's members are in one partition: what is distinct there is distinct but for what was flushed in
+    # between, which can only open more groups
+    matrix = asks.select("home", "token").mapInArrow(distinct, "group long, token long")
     met = asks.join(matrix, "token").where(F.col("group") != F.col("home"))
     met = met.groupBy("cls", "group").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("group", "cls")
     many = sets.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
@@ -418,8 +437,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = docs.select(F.col("text").cast("string").alias("text"))
     wanted = checkpointed(survivors(texts, threshold))
     sets = checkpointed(token_table(texts, wanted))
-    sets = checkpointed(grouped(sets, threshold))
-    asking = checkpointed(opened(sets, threshold))
+    cells = docs.sparkSession.sparkContext.broadcast(cell_counts(sets))
+    sets = checkpointed(grouped(sets, threshold, cells))
+    asking = checkpointed(opened(sets, threshold, cells))
     sizes = sets.select("cls", "size")
     n = asking.join(sizes, "cls").groupBy("group").agg(F.ceil(F.sum("size") / PART).cast("long").alias("n"))
     q = asking.join(n, "group").select("group", F.pmod(F.xxhash64("cls"), F.col("n")).alias("block"), "cls", F.lit(True).alias("query"), F.lit(False).alias("member"))
