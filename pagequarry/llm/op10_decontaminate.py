@@ -3,21 +3,23 @@
 1. Passages are windows of ``2 * BLOCK`` words, one beginning every ``BLOCK`` words, over whole documents.
    Terms are words; only those of the benchmark are columns of the matrix, as no other can bring a passage
    nearer to an item.  A term's document frequency counts all passages of the corpus.
-2. A distributed randomised SVD of the TF-IDF passage matrix A: every task adds its passages' share of
-   A'(A W) for a random W; the orthonormal basis of that sum spans the leading right singular space
-   (``RANK`` dimensions).  Nothing but one (terms x RANK) sum is gathered.  The directions in which the
-   items leave that space are added, so that rare items are not lost in the corpus's leading space.
-3. Passages and items are projected; pairs of at least ``COSINE`` are candidates (exact search: every passage
-   meets every item in one matrix product, in blocks of items).
+2. A distributed randomised SVD of the TF-IDF matrix A, whose rows are all passages of the corpus, and the
+   items, weighted so that they hold as much of the matrix as the corpus does: every task adds its passages'
+   share of ``A'(A W)`` for a random W of ``RANK + OVERSAMPLE`` columns, in one pass.  From this sum and W the
+   Nystrom formula gives the leading right singular vectors; ``RANK`` of them are the latent space.
+3. Passages and items are projected.  The cosine of a passage a and an item b is estimated by ``<Pa, Pb> |b| /
+   (|Pb|^2 |a|)`` with whole norms of both, so an item of which the space holds little is compared by what it
+   does hold; pairs of at least ``COSINE`` are candidates (every passage meets every item in one matrix product,
+   in blocks).  Items of which less than ``FLOOR`` is held are searched again in a space fitted to them.
 4. A candidate is confirmed by its longest common subsequence with the item, over the passage and ``BLOCK``
    words on either side, without common words (an item with fewer than ``FEW`` others keeps them): at least
    ``LCS`` of the item; or, for a paraphrase, at least ``LCS_LOOSE`` of it with ``ANSWER`` of its answer (its
    last sentence, or its last words if that is shorter than ``FEW``).
 
-The benchmark (terms, projections) is what is sent to every task; it is fixed while the corpus grows, and
-its size is checked against ``MAX_TERMS``: a larger benchmark is searched in parts whose results are united.
+The basis (terms of the benchmark x RANK) is what is sent to every task: the benchmark is fixed while the
+corpus grows.  Its size is checked: one of over ``MAX_TERMS`` different words is refused, not cut.
 
-Defined results: null and empty texts match nothing; items without words are ignored; null ids are matched
+Defined results: null and empty texts match nothing; very long texts are searched whole; items without words are ignored; null ids are matched
 and reported as null; repeated documents and items are each reported; an item or document in several
 places is reported once a pair, with its best place; ties go to the earliest; empty tables give an empty
 result.  Other columns are ignored, whatever their names.
@@ -32,19 +34,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagequarry.llm._shared import trimmed
 from pagequarry.llm._text import as_string_array, chunks, word_hashes
 
 BLOCK = 32
-RANK = 64
+RANK = 96
 COSINE = 0.3
 LCS = 0.5
 LCS_LOOSE = 0.35
 ANSWER = 0.6
 MAX_DF = 0.05
-MIN_COMMON = 50  # passages that a common term must at least be in
+PRIOR = 1000  # passages without any term, added to those of the corpus
 FEW = 4
-MAX_TERMS = 200_000
-MAX_ITEMS = 20_000
+OVERSAMPLE = 16
+FLOOR = 0.2
+ITEM_BLOCK = 4096
+MAX_TERMS = 500_000
 
 
 @dataclass
@@ -54,8 +59,8 @@ class Benchmark:
     answers: list[np.ndarray]  # the part of them that is the answer
     terms: np.ndarray  # sorted hashes
     idf: np.ndarray | None = None
-    basis: np.ndarray | None = None  # (terms, dims), weighted by idf
-    latent: np.ndarray | None = None  # (items, dims), unit length
+    basis: np.ndarray | None = None  # (terms, RANK) times idf, then the squares of idf
+    latent: np.ndarray | None = None  # (items, RANK): Pb |b| / |Pb|^2
 
     def numbers(self, words: np.ndarray) -> np.ndarray:
         """Term numbers of word hashes, -1 where a word is no term."""
@@ -123,6 +128,7 @@ def frequencies(texts: DataFrame, bench: Benchmark) -> tuple[np.ndarray, int]:
     """Passages that hold each term, and all passages."""
     n_terms = len(bench.terms)
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, passages = np.zeros(n_terms, np.int64), 0
         for batch in batches:
@@ -151,12 +157,13 @@ def frequencies(texts: DataFrame, bench: Benchmark) -> tuple[np.ndarray, int]:
     return df, passages
 
 
-def range_sketch(texts: DataFrame, bench: Benchmark, weights: np.ndarray, rank: int) -> np.ndarray:
-    """A'(A W) over all passages; ``weights`` are the terms' IDF, W is (terms, rank) and random."""
-    test = np.random.default_rng(10).standard_normal((len(weights), rank)).astype(np.float32)
+def range_sketch(texts: DataFrame, bench: Benchmark, weights: np.ndarray, test: np.ndarray) -> np.ndarray:
+    """A'(A W) over all passages; ``weights`` are the terms' IDF, W is ``test``, (terms, columns)."""
+    rank = test.shape[1]
     weighted = (weights[:, None] * test).astype(np.float32)
     used = weights > 0
 
+    @trimmed
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros_like(weighted, dtype=np.float64), False
         for batch in batches:
@@ -195,33 +202,80 @@ def range_sketch(texts: DataFrame, bench: Benchmark, weights: np.ndarray, rank:
     return out * weights[:, None]
 
 
-def fit(docs: DataFrame, bench: Benchmark, rank: int = RANK) -> Benchmark:
-    """IDF, latent basis and the items' projections."""
+def _item_weights(bench: Benchmark, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The items' TF-IDF rows of unit length: item, term, value of each entry; and the whole norms."""
+    pairs = [np.unique(w, return_counts=True) for w in bench.words]
+    item = np.repeat(np.arange(len(pairs)), [len(t) for t, _ in pairs])
+    term = np.concatenate([t for t, _ in pairs])
+    value = np.concatenate([n for _, n in pairs]) * idf[term]
+    norm = np.sqrt(np.bincount(item, value**2, len(pairs)))
+    return item, term, value / np.maximum(norm, 1e-12)[item], norm
+
+
+def _times(item: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, right: np.ndarray) -> np.ndarray:
+    """The items' rows times (terms, columns)."""
+    out = np.zeros((n, right.shape[1]))
+    for at in range(0, len(item), 1 << 14):
+        np.add.at(out, item[at : at + (1 << 14)], value[at : at + (1 << 14), None] * right[term[at : at + (1 << 14)]])
+    return out
+
+
+def singular_vectors(sketch: np.ndarray, test: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors and values of A, from ``A'(A test)``: Nystrom's formula for A'A, shifted
+    for stability, then the SVD of its factor."""
+    shift = 1e-7 * max(1e-12, float(np.linalg.norm(sketch)))
+    moved = sketch + shift * test
+    core = test.T @ moved
+    d, v = np.linalg.eigh((core + core.T) / 2)
+    ok = d > 1e-6 * max(1e-300, d.max(initial=0))  # the sketch is summed from single precision
+    u, s, _ = np.linalg.svd(moved @ (v[:, ok] / np.sqrt(d[ok])), full_matrices=False)
+    s = np.sqrt(np.maximum(s**2 - shift, 0))
+    held = (s > 1e-3 * max(1e-12, s.max(initial=0)))[:rank]
+    return u[:, :rank][:, held], s[:rank][held]
+
+
+def fit(docs: DataFrame, bench: Benchmark, rank: int = RANK) -> list[Benchmark]:
+    """IDF over the whole corpus, latent basis and the items' projections; a further benchmark of items that
+    the space does not hold, and so on."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     df, passages = frequencies(texts, bench)
     idf = np.maximum(np.log((passages + 1) / (df + 0.5)), 0.05)
-    common = df > max(MAX_DF * passages, MIN_COMMON)
+    common = df > MAX_DF * (passages + PRIOR)
     needed = [w for w in bench.words if (~common[w]).sum() < FEW]  # items that have little else keep their common words
     if needed:
         common[np.concatenate(needed)] = False
     idf[common] = 0
-    items = np.zeros((len(bench.ids), len(idf)), np.float32)
-    for k, own in enumerate(bench.words):
-        np.add.at(items[k], own, 1)
-    items *= idf
-    sketch = range_sketch(texts, bench, idf, min(rank, len(idf)))
-    # the leading space of the corpus, then what the items have outside it
-    q, r = np.linalg.qr(sketch)
-    q = q[:, np.abs(np.diag(r)) > 1e-6 * max(1e-12, np.abs(np.diag(r)).max(initial=0))]
-    rest = items - (items @ q) @ q.T
-    u, s, _ = np.linalg.svd(rest @ rest.T, hermitian=True)
-    own = s > 1e-9 * max(1e-12, s.max(initial=0))
-    extra = (rest.T @ (u[:, own] / np.sqrt(s[own])))
-    basis = np.column_stack([q, extra]).astype(np.float32)
-    latent = items @ basis
-    bench.idf, bench.basis = idf, (basis * idf[:, None]).astype(np.float32)
-    bench.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-    return bench
+    test = np.random.default_rng(10).standard_normal((len(idf), min(rank + OVERSAMPLE, len(idf))))
+    corpus = range_sketch(texts, bench, idf, test)
+    return _fitted(bench, idf, test, corpus, rank)
+
+
+def _fitted(bench: Benchmark, idf: np.ndarray, test: np.ndarray, corpus: np.ndarray, rank: int) -> list[Benchmark]:
+    n = len(bench.ids)
+    item, term, value, norm = _item_weights(bench, idf)
+    weight = max(float((test * corpus).sum()) / test.shape[1], 1.0) / n  # the trace of A'A, over the items
+    own = np.zeros_like(corpus)
+    seen = _times(item, term, value, n, test)
+    for at in range(0, len(item), 1 << 14):
+        np.add.at(own, term[at : at + (1 << 14)], value[at : at + (1 << 14), None] * seen[item[at : at + (1 << 14)]])
+    basis, _ = singular_vectors(corpus + weight * own, test, rank)
+    latent = _times(item, term, value, n, basis)  # of the items at unit length
+    held = np.linalg.norm(latent, axis=1)
+    there = held >= FLOOR
+    if not there.any() and n > 1:  # no space of this rank holds so many: halves
+        there[: n // 2] = True
+        first, second = _part(bench, there), _part(bench, ~there)
+        return _fitted(first, idf, test, corpus, rank) + _fitted(second, idf, test, corpus, rank)
+    there |= n == 1
+    out = _part(bench, there)
+    out.idf, out.basis = idf, np.column_stack([basis * idf[:, None], idf**2]).astype(np.float32)
+    out.latent = (latent[there] / np.maximum(held[there, None], 1e-6) ** 2).astype(np.float32)
+    return [out] + ([] if there.all() else _fitted(_part(bench, ~there), idf, test, corpus, rank))
+
+
+def _part(bench: Benchmark, rows: np.ndarray) -> Benchmark:
+    at = np.flatnonzero(rows).tolist()
+    return Benchmark([bench.ids[k] for k in at], [bench.words[k] for k in at], [bench.answers[k] for k in at], bench.terms)
 
 
 def lcs_length(a: list[int], b: list[int]) -> int:
@@ -262,13 +316,17 @@ class Searcher:
             return []
         n = int(first[-1])
         y = _project(terms[hit], block[hit], n, first, b.basis)
-        # cosine against the whole passage of benchmark terms, not only its latent part
-        norm = np.linalg.norm(y, axis=1)
-        live = np.flatnonzero(norm > 0)
+        # the norm is that of the whole passage, not only of its latent part
+        live = np.flatnonzero(y[:, -1] > 0)
         if not len(live):
             return []
-        cos = (y[live] / norm[live, None]) @ b.latent.T
-        w, item = np.nonzero(cos >= self.cosine)
+        scaled = y[live, :-1] / np.sqrt(y[live, -1:])
+        w, item, cos = [], [], []
+        for at in range(0, len(b.ids), ITEM_BLOCK):
+            part = scaled @ b.latent[at : at + ITEM_BLOCK].T
+            r, c = np.nonzero(part >= self.cosine)
+            w.append(r), item.append(c + at), cos.append(np.minimum(part[r, c], 1.0))
+        w, item, cos = np.concatenate(w), np.concatenate(item), np.concatenate(cos)
         text_of = np.searchsorted(first, live[w], side="right") - 1
         best: dict[tuple[int, int], tuple[float, float, int, float]] = {}
         for k, (p, i, t) in enumerate(zip(live[w].tolist(), item.tolist(), text_of.tolist())):
@@ -286,23 +344,17 @@ class Searcher:
             if share >= LCS or found >= ANSWER:
                 old = best.get((t, i))
                 if old is None or share > old[0]:
-                    best[(t, i)] = (share, found, start - int(offs[t]), float(cos[w[k], i]))
+                    best[(t, i)] = (share, found, start - int(offs[t]), float(cos[k]))
         return [(t, i, place, c, share, found) for (t, i), (share, found, place, c) in best.items()]
 
 
-def _benchmark_parts(items: DataFrame) -> list[Benchmark]:
-    """The benchmark in parts of at most MAX_ITEMS items and about MAX_TERMS words."""
-    rows = [(r[0], r[1]) for r in items.collect()]
-    parts: list[list[tuple]] = [[]]
-    size = 0
-    for row in rows:
-        n = len((row[1] or "").split())
-        if parts[-1] and (size + n > MAX_TERMS or len(parts[-1]) >= MAX_ITEMS):
-            parts.append([])
-            size = 0
-        parts[-1].append(row)
-        size += n
-    return [b for b in map(read_benchmark, parts) if b.ids]
+def _benchmark(items: DataFrame) -> Benchmark:
+    """The whole benchmark, which must fit on the driver."""
+    rows = _item_rows(items).where("text IS NOT NULL")
+    n = rows.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("w")).agg(F.approx_count_distinct("w")).first()[0]
+    if n > MAX_TERMS:
+        raise ValueError(f"the benchmark has about {n} different words, more than {MAX_TERMS}: search it in parts")
+    return read_benchmark([(r[0], r[1]) for r in rows.collect()])
 
 
 def _item_rows(items: DataFrame) -> DataFrame:
@@ -316,9 +368,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, cosine: float = COSINE
     kinds = slim.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, first_word long, cosine double, lcs double, answer double"
     out = None
-    for bench in _benchmark_parts(_item_rows(items)):
-        fit(docs, bench)
+    whole = _benchmark(items)
+    for bench in fit(docs, whole) if whole.ids else []:
 
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch], bench: Benchmark = bench) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(bench, cosine)
             for batch in batches:
@@ -335,9 +388,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, cosine: float = COSINE
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, cosine: float = COSINE) -> DataFrame:
     """The rows of ``docs`` without a confirmed passage, with all their columns; decided row by row."""
-    for bench in _benchmark_parts(_item_rows(items)):
-        docs = docs.where(_clean(fit(docs, bench), cosine)(F.col("text").cast("string")))
-    return docs
+    whole = _benchmark(items)
+    out = docs
+    for bench in fit(docs, whole) if whole.ids else []:
+        out = out.where(_clean(bench, cosine)(F.col("text").cast("string")))
+    return out
 
 
 def _clean(bench: Benchmark, cosine: float):

@@ -396,11 +396,45 @@ def test_combined_disguises():
     }
     for seen, word in hidden.items():
         assert word in judge.text(f"{WORDS[3]} {seen} {WORDS[9]}")[1], seen
+    more = op9_toxicity.Judge(op9_toxicity.CharModel(np.bincount(np.concatenate([op9_toxicity.trigrams(w) for w in [*WORDS, "ass", "shit", "stupid"]]), minlength=op9_toxicity.ALPHABET**3), ["ass", "shit", "stupid"]), dict.fromkeys(["ass", "shit", "stupid"], 5.0), -3.0)
+    for seen, word in {"@$$": "ass", "455": "ass", "$#!7": "shit", "5#17": "shit", "stu pid": "stupid", "st upid.": "stupid", "s   t   u   p   i   d": "stupid"}.items():
+        assert more.text(f"{WORDS[3]} {seen} {WORDS[9]}")[1] == [word], seen
+    assert more.text("in 1999 and 2024, 3.14 or 12:30, 100% of $5")[1] == []
     assert judge.text("l 0 $ e r   1 d 1 0 t\nm 0 r 0 n")[1] == ["idiot", "loser", "moron"]
     for clean in ("a b c d e f", "2 7 2\n7 2 2", "( a ) ( b ) ( c )", "| | |\n+---+---+", "x + y = z!", "5 $ 3", "- - -", "", "*" * 100_000, "* " * 50_000 + "a", "a " + "* " * 50_000 + "b"):
         assert judge.text(clean)[1] == [], clean[:20]
 
 
+def test_scores_by_hand(spark):
+    """Lexicon weights and document scores against a plain count of contexts and documents."""
+    rng = random.Random(9)
+    bad = ["loser", "moron"]
+    texts = [(i, prose(i, 12), 0) for i in range(30)] + [(100 + i, f"{prose(i, 4)} {rng.choice(bad)} {prose(700 + i, 4)}", 1) for i in range(20)]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    known = spark.createDataFrame([(i, x) for i, _, x in texts], "doc_id long, toxic int")
+    weights, prior = op9_toxicity.lexicon(docs, known)
+    around, clean = defaultdict(set), Counter()
+    for _, t, x in texts:
+        w = t.split()
+        if x:
+            for k in range(len(w)):
+                for e in op9_toxicity.entries(w[k]):
+                    around[e].add((w[k - 1] if k else "", w[k + 1] if k + 1 < len(w) else ""))
+        else:
+            clean.update({e for v in w for e in op9_toxicity.entries(v)})
+    want = {}
+    for e, c in around.items():
+        n, m = len(c), clean[e]
+        weight = math.log((n + 0.5) / 21) - math.log((m + 0.5) / 31)
+        if n >= op9_toxicity.MIN_CONTEXTS and n >= (op9_toxicity.STEM_PURITY if e.endswith("-") else op9_toxicity.PURITY) * (n + m) and weight >= op9_toxicity.MIN_WEIGHT:
+            want[e] = weight
+    assert weights == pytest.approx(want) and set(bad) <= set(want) and prior == pytest.approx(math.log(20.5 / 30.5))
+    for r in op9_toxicity.score_toxicity(docs, known).collect():
+        own = dict((i, t) for i, t, _ in texts)[r.doc_id]
+        odds = prior + sum(max(want.get(e, 0) for e in op9_toxicity.entries(w)) for w in set(own.split()))
+        assert r.toxicity == pytest.approx(1 / (1 + math.exp(-odds))) and r.toxic == (odds >= 0)
+
+
 def test_char_counts(spark):
     texts = ["ab", None, "", "x" * 200_000 + "é"]
     got = op9_toxicity.char_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
@@ -448,6 +482,57 @@ def test_decontamination(spark, odd, items, words):
     assert op10_decontaminate.drop_contaminated(odd, items.limit(0)).count() == 14
 
 
+def test_singular_space(spark):
+    """The latent space is that of the SVD of passages and items; of a low rank, nearly the best one."""
+    texts = [prose(i, 70 + 9 * i, WIDE[:300]) for i in range(10)]
+    bench = op10_decontaminate.read_benchmark([(i, prose(600 + i, 30, WIDE[:300])) for i in range(12)])
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    (own,) = op10_decontaminate.fit(docs, bench)
+    rows = []
+    for t in texts:
+        w = bench.numbers(op10_decontaminate.word_hashes(pa.array([t]))[0])
+        rows += [np.bincount(w[k : k + 64][w[k : k + 64] >= 0], minlength=len(bench.terms)) * own.idf for k in range(0, len(w), 32)]
+    a = np.array(rows)
+    item, term, value, _ = op10_decontaminate._item_weights(bench, own.idf)
+    b = np.zeros((12, len(bench.terms)))
+    b[item, term] = value
+    test = np.random.default_rng(10).standard_normal((len(bench.terms), min(op10_decontaminate.RANK + op10_decontaminate.OVERSAMPLE, len(bench.terms))))
+    trace = (test * (a.T @ (a @ test))).sum() / test.shape[1]
+    whole = np.vstack([a, math.sqrt(trace / 12) * b])
+    _, s, vt = np.linalg.svd(whole, full_matrices=False)
+    v = vt[s > 1e-6 * s[0]].T
+    used = own.idf > 0
+    got = own.basis[used, :-1] / own.idf[used, None]
+    assert len(v[0]) < op10_decontaminate.RANK and np.abs(got @ got.T - (v @ v.T)[np.ix_(used, used)]).max() < 1e-2
+    low, values = op10_decontaminate.singular_vectors(whole.T @ (whole @ test[:, :24]), test[:, :24], 8)
+    assert ((whole @ low) ** 2).sum() > 0.9 * (s[:8] ** 2).sum() and abs(values[0] / s[0] - 1) < 0.05
+    assert low.shape[1] == 8 and np.abs(low.T @ low - np.eye(8)).max() < 1e-6
+    # estimated cosines of passages without repeated words are the true ones
+    words = random.Random(5).sample(WIDE[:300], 40)
+    part = [(0, " ".join(words[:30]))]
+    one = op10_decontaminate.find_contamination(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), spark.createDataFrame(part, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in one] == [(1, 0)] and one[0].lcs == 1
+
+
+@pytest.mark.parametrize("rank", [96, 24])
+def test_candidates_brute_force(spark, sf, monkeypatch, rank):
+    """What the latent search finds is what the check of all passages against all items finds."""
+    monkeypatch.setattr(op10_decontaminate, "RANK", rank)
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    fit = op10_decontaminate.fit
+    monkeypatch.setattr(op10_decontaminate, "fit", lambda d, b: fit(d, b, rank))
+    found = {(r.doc_id, r.item_id) for r in op10_decontaminate.find_contamination(docs, items).collect()}
+    every = {(r.doc_id, r.item_id) for r in op10_decontaminate.find_contamination(docs, items, -1e9).collect()}
+    assert found == every and len(every) >= 3
+
+
+def test_rank_matters(spark):
+    bench = [(i, prose(600 + i, 30, WIDE)) for i in range(12)]
+    docs = spark.createDataFrame([(prose(i, 100, WIDE),) for i in range(10)], "text string")
+    held = [sum(len(p.ids) for p in op10_decontaminate.fit(docs, op10_decontaminate.read_benchmark(bench), rank)[:1]) for rank in (1, 96)]
+    assert held[0] < held[1] == 12
+
+
 def test_document_frequencies(spark):
     texts = [prose(i, 10 + 17 * i) for i in range(12)] + ["", None]
     bench = op10_decontaminate.read_benchmark([(0, prose(0, 40))])
