@@ -1,11 +1,12 @@
 """Toxicity through a noisy channel.
 
 A text may hide its words behind digits and symbols (``l0$er``), spacing (``s t u p i d``) or repetition
-(``stuuupid``), also combined (``l 0 $ e r``).  Suspicious tokens and runs of single letters, digits and
+(``stuuupid``), also combined (``l 0 $ e r``), without any letter (``$#!7``), or in two pieces (``stu pid``).  Suspicious tokens and runs of single letters, digits and
 symbols, with any white space and separators between them, become a lattice: every observed
 character emits itself, the letters that it can stand for, or nothing (a separator, or the repetition of
 the character before it), each at a cost.  Viterbi decoding under a character trigram model finds the
-likeliest string, and the restored words are scored with all other words of the text.
+likeliest string, and the restored words are scored with all other words of the text.  Neighbouring tokens
+that join to a lexicon word of ``MIN_SPLIT`` letters count as it.
 
 * The character model counts every text of the corpus; its alphabet is fixed (``ALPHABET`` letters), so
   the counts that are collected are bounded whatever the input.
@@ -18,7 +19,7 @@ likeliest string, and the restored words are scored with all other words of the
 * A document's score adds the prior and the weights of its distinct lexicon words; it is toxic where the
   probability reaches ``CUTOFF``.  Each task remembers the tokens that it has judged.
 
-Defined results: a null text scores as an empty one (the prior); null ids are scored, not trained on;
+Defined results: very long texts are judged whole; of equally likely decodings the first met counts; a null text scores as an empty one (the prior); null ids are scored, not trained on;
 several labels of a document: toxic if any says so; repeated rows are scored repeatedly; without
 labelled toxic documents nothing is toxic; an empty table gives an empty result.  Other columns are
 ignored, whatever their names.
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagequarry.llm._shared import trimmed
 from pagequarry.llm._text import as_string_array
 
 MAX_LABELS = 200_000
@@ -47,6 +49,8 @@ MIN_WEIGHT = 2.5
 CUTOFF = 0.5
 REMEMBERED = 400_000
 ROW = 16
+MIN_SPELLED = 3  # characters of a token without letters that may be a word
+MIN_SPLIT = 5  # letters of a word that may be cut in two pieces
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
 ALPHABET = len(LETTERS) + 1  # 0: everything else, a word's edge
@@ -74,6 +78,8 @@ _GAP = re.compile(rf"[\s{re.escape(SEPARATORS)}]*")
 _ELEMENT = re.compile(rf"[^\W_]|[{_SYMBOLS}]|\*")
 # single letters, digits and symbols with any white space and separators between them; possessive, so linear
 _RUNS = re.compile(rf"(?:(?<![^\W_])[^\W_](?![^\W_])|[{_SYMBOLS}])(?:[\s{re.escape(SEPARATORS)}]*+(?:(?<![^\W_])[^\W_](?![^\W_])|[{_SYMBOLS}]))++")
+_ALL_LEET = re.compile("[" + re.escape("".join(LEET)) + "]+")
+_STOPS = ".,;:?!)]}\"'"
 _LEETED = re.compile(r"[0-9@$!|+(€£*#]")
 
 
@@ -193,6 +199,7 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     """Trigrams of all texts, as ALPHABET**3 numbers."""
     a = ALPHABET
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(a**3, np.int64)
         for batch in batches:
@@ -234,6 +241,7 @@ def lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
     if not n_toxic:
         return {}, math.log(0.5 / (n_clean + 1))
 
+    @trimmed
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = set()
@@ -248,6 +256,7 @@ def lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
     held = known.where("toxic <> 0").select("text").mapInArrow(contexts, "word string, ctx long").distinct()
     seen = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CONTEXTS).toLocalIterator()}
 
+    @trimmed
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         held: dict[str, tuple[str, ...]] = {}  # of words met before
@@ -284,6 +293,11 @@ class Judge:
         self.harmless: set[str] = set()
         self.found: dict[str, tuple[tuple[str, ...], bool]] = {}
         self.runs: dict[str, tuple[str, ...]] = {}
+        self.halves: dict[str, dict[str, str]] = {}  # of words in two pieces: the first, the second, the word
+        for w in weights:
+            if len(w) >= MIN_SPLIT and not w.endswith("-"):
+                for k in range(2, len(w) - 1):
+                    self.halves.setdefault(w[:k], {})[w[k:]] = w
 
     def weight(self, word: str) -> float:
         return max([self.weights.get(e, 0.0) for e in entries(word)])
@@ -312,6 +326,9 @@ class Judge:
                 return tuple(self._restored(core)), True
         elif parts and (_LEETED.search(core) or len(parts) > 1):
             return tuple(self._restored(core)), True
+        elif not parts and len(core) >= MIN_SPELLED and core == low and _ALL_LEET.fullmatch(core):
+            # symbols and digits only: what is read must be a whole word of the lexicon, not a beginning
+            return tuple(w for w in self._restored(core) if w in self.weights), True
         return (), False
 
     def spelled(self, seen: str) -> tuple[str, ...]:
@@ -330,13 +347,22 @@ class Judge:
         if text:
             if len(self.harmless) > REMEMBERED:
                 self.harmless.clear()
-            for token in set(text.split()).difference(self.harmless):
+            if len(self.found) > REMEMBERED:
+                self.found.clear()
+            tokens = text.split()
+            for token in set(tokens).difference(self.harmless):
                 got = self.found.get(token) or self.token(token)
                 if got[0]:
                     self.found[token] = got
                     (hidden if got[1] else held).update(got[0])
                 else:
                     self.harmless.add(token)
+            if self.halves:
+                low = text.lower().split()
+                for k in [k for k, t in enumerate(low[:-1]) if t in self.halves]:
+                    word = self.halves[low[k]].get(low[k + 1].rstrip(_STOPS))
+                    if word:
+                        hidden.add(word)
             for run in spelled_runs(text):
                 for seen in run:
                     hidden.update(self.spelled(seen))
@@ -353,6 +379,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, m
     kind = slim.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "toxicity", "toxic", "words", "n_restored"]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(CharModel(counts, [w.rstrip("-") for w in weights]), weights, prior)
         for batch in batches:
