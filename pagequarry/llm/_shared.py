@@ -11,6 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+TEXT_ROWS = "2000"  # of an Arrow batch: 10,000 texts are 25 MB and more, several times over in a worker and the JVM
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches fit for texts, unless the session sets their rows itself."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder that the cluster names in ``spark.checkpoint.dir``; only a local session
     without one, as in tests, gets a folder of its own."""
@@ -27,6 +36,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by reliable files in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm._shared import trimmed
+from pagequarry.llm._shared import release, small_batches, trimmed
 from pagequarry.llm._text import as_string_array, chunks, word_hashes
 
 BLOCK = 32
@@ -237,6 +237,7 @@ def singular_vectors(sketch: np.ndarray, test: np.ndarray, rank: int) -> tuple[n
 def fit(docs: DataFrame, bench: Benchmark, rank: int = RANK) -> list[Benchmark]:
     """IDF over the whole corpus, latent basis and the items' projections; a further benchmark of items that
     the space does not hold, and so on."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
     df, passages = frequencies(texts, bench)
     idf = np.maximum(np.log((passages + 1) / (df + 0.5)), 0.05)
@@ -405,6 +406,7 @@ def _clean(bench: Benchmark, cosine: float):
                 for t, *_ in searcher.search(part):
                     ok[at + t] = False
             yield pd.Series(ok)
+        release()
 
     return clean
 

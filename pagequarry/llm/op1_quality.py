@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm._shared import checkpointed, spread
+from pagequarry.llm._shared import checkpointed, release, small_batches, spread, trimmed
 from pagequarry.llm._text import as_string_array, buffers, chunks, mix64, word_hashes
 
 FEATURES = 256
@@ -146,6 +146,7 @@ def statistics_table(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stats = document_statistics(as_string_array(batch.column(1)))
@@ -237,14 +238,17 @@ def classify(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> Data
 def keep_quality(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns.  Rows are decided by
     their own text, so ids may be null or repeat."""
+    small_batches(docs.sparkSession)
     model = fit(checkpointed(statistics_table(docs)), labels)
     if model is None:
         return docs
 
     @F.pandas_udf("boolean")
-    def good(text: pd.Series) -> pd.Series:
-        stats = document_statistics(as_string_array(pa.array(text, pa.string(), from_pandas=True)))
-        return pd.Series(model.calibrated(model.scores(stats)) >= cutoff)
+    def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            stats = document_statistics(as_string_array(pa.array(text, pa.string(), from_pandas=True)))
+            yield pd.Series(model.calibrated(model.scores(stats)) >= cutoff)
+        release()
 
     return docs.where(good(F.col("text").cast("string")))
 

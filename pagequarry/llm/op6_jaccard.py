@@ -46,14 +46,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagequarry.llm._shared import checkpointed, trimmed
+from pagequarry.llm._shared import checkpointed, release, trimmed
 from pagequarry.llm._text import WORD_RE, as_string_array, chunks, mix64, word_hashes
 
 N = 3
 THRESHOLD = 0.6
 LEAD = 0.1
-FLUSH = 1 << 21  # entries that a task sorts at once
-BUCKET = 1 << 22  # entries of a bucket, about
+FLUSH = 1 << 20  # entries that a task sorts at once
+BUCKET = 1 << 21  # entries of a bucket, about
 CELLS = 1 << 18
 PART = 1 << 20
 BROADCAST_ROWS = 1_000_000
@@ -182,27 +182,25 @@ def survivors(texts: DataFrame, threshold: float) -> DataFrame:
     """(cls) of the classes of which enough tokens are shared; cls is the first half of a fingerprint."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(16, max(0, math.ceil(math.log2(max(1, size / 6 / BUCKET)))))
-    to_bucket, to_low = np.uint64(64 - bits) if bits else None, np.uint64(64 - bits - 32)
+    to_low = np.uint64(64 - bits - 32)
 
     def sent(parts: list[np.ndarray], classes: list[np.ndarray], sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys, cls, size = np.concatenate(parts), np.concatenate(classes), np.concatenate(sizes)
         keys.sort()  # token, then the class's number in the last 16 bits
-        token, own = keys >> np.uint64(16), (keys & np.uint64(0xFFFF)).astype(np.int64)
-        new = np.concatenate([[True], token[1:] != token[:-1]])
+        new = np.concatenate([[True], (keys[1:] ^ keys[:-1]) > np.uint64(0xFFFF)])
         again = np.concatenate([~new[1:], [False]])
         single = new & ~again
-        known = np.bincount(own[~single], minlength=len(cls)) - least_shared(size, threshold)
+        known = np.bincount((keys[~single] & np.uint64(0xFFFF)).astype(np.int64), minlength=len(cls)) - least_shared(size, threshold)
         cells = [pa.array([-1 - int(cls[0] % np.uint64(1 << bits))], pa.int32()), _binary([known]), pa.array([b""], pa.binary()), _binary([cls]), pa.array([b""], pa.binary())]
         names = ["bucket", "asked", "counts", "cls", "told"]
         yield pa.RecordBatch.from_arrays(cells, names=names)
-        bucket = np.zeros(len(keys), np.int64) if to_bucket is None else (keys >> to_bucket).astype(np.int64)
-        low = ((keys >> to_low) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        ends = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+        ends = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)), len(keys))
         rows: list[list] = [[], [], [], [], []]
         held = 0
         for b in np.flatnonzero(np.diff(ends)).tolist():
             at = slice(ends[b], ends[b + 1])
             asks = single[at]
+            low = ((keys[at] >> to_low) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             number = (keys[at][asks] & np.uint64(0xFFFF)).astype(np.uint16)
             n = np.bincount(number, minlength=len(cls))
             there = np.flatnonzero(n)
@@ -210,8 +208,8 @@ def survivors(texts: DataFrame, threshold: float) -> DataFrame:
             times = -(-n[there] // 255)
             counts = np.full(int(times.sum()), 255, np.uint8)
             counts[np.cumsum(times) - 1] = n[there] - 255 * (times - 1)
-            told = low[at][(new & again)[at]]
-            for cell, x in zip(rows, (b, low[at][asks][np.argsort(number, kind="stable")].tobytes(), counts.tobytes(), np.repeat(cls[there], times).tobytes(), told.tobytes())):
+            told = low[new[at] & again[at]]
+            for cell, x in zip(rows, (b, low[asks][np.argsort(number, kind="stable")].tobytes(), counts.tobytes(), np.repeat(cls[there], times).tobytes(), told.tobytes())):
                 cell.append(x)
             held += ends[b + 1] - ends[b]
             if held > 1 << 18:
@@ -547,6 +545,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for tokens, offs in token_sets(as_string_array(pa.array(text, pa.string(), from_pandas=True))):
                 out += _binary(fingerprints(tokens, offs), np.diff(offs) > 0).to_pylist()
             yield pd.Series(out, dtype=object)
+        release()
 
     # the row travels as one struct, so that its columns may have any names
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").alias("id"), fp(F.col("text").cast("string")).alias("own"))

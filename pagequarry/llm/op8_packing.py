@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm._shared import checkpointed
+from pagequarry.llm._shared import checkpointed, trimmed
 from pagequarry.llm._text import as_string_array, chunks, word_hashes
 from pagequarry.llm._tokens import DEFAULT_VOCABULARY, token_counter
 
@@ -115,6 +115,7 @@ def measured(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(key, doc_id, n_tokens) of every document with a token."""
     matrix = projection()
 
+    @trimmed
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = token_counter(vocabulary)
         for batch in batches:
