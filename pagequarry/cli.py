@@ -5,11 +5,11 @@ from __future__ import annotations
 import argparse
 import importlib.util
 import logging
-import os
 import sys
 
 from pagequarry.config import APPEND, CREATE, FAIL, SKIP, TRUNCATE, CsvConfig, Throttle, merged
 from pagequarry.operators import csv_sink
+from pagequarry.operators.durable import checkpointed
 from pagequarry.operators.scrape import Scraper, errors, records, scrape
 from pagequarry.sources.fetch import fetch, http_get
 from pagequarry.sources.files import read_pages
@@ -88,25 +88,29 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.getOrCreate()
     scraper = load_script(args.script)
-    csv = CsvConfig(**scraper.csv)
+    csv, failed = CsvConfig(**scraper.csv), None
     if args.command == "crawl":
         from pagequarry.streaming.frontier import crawl
 
         config = config_of(args, scraper)
-        result = crawl(spark, scraper, lambda urls: fetch(urls, http_get(config.user_agent), config), config, max_rounds=args.max_rounds)
-        tagged = result.tagged
+        result = crawl(spark, scraper, lambda urls, throttle: fetch(urls, http_get(config.user_agent), config, throttle), config, max_rounds=args.max_rounds)
+        tagged, failed = result.tagged, result.errors.selectExpr("url AS location", "error")
     elif args.url:
         page = fetch(spark.createDataFrame([(args.url,)], "url string"), http_get(merged(scraper.config).user_agent), merged(scraper.config, {"on_dl_error": FAIL}))
         tagged = scrape(page.selectExpr("'URL' AS kind", "url AS location", "body AS html"), scraper, FAIL, follow=False)
     else:
-        pages = read_pages(spark, args.files, args.on_error or FAIL).where("error IS NULL").repartition(args.num_workers or max(1, os.cpu_count() or 1))
-        tagged = scrape(pages, scraper, args.on_error or FAIL, follow=False)
+        pages = read_pages(spark, args.files, args.on_error or FAIL)
+        failed = pages.where("error IS NOT NULL").select("location", "error")
+        good = pages.where("error IS NULL")
+        good = good.repartition(args.num_workers) if args.num_workers else good
+        tagged = checkpointed(scrape(good, scraper, args.on_error or FAIL, follow=False))
+        failed = failed.union(errors(tagged).select("location", "error"))
     out = records(tagged)
     if args.output_file:
         csv_sink.write_csv(out, args.output_file, APPEND if args.append else TRUNCATE if args.truncate else CREATE, csv)
     else:
         csv_sink.print_csv(out, csv)
-    for r in errors(tagged).toLocalIterator() if not args.quiet else ():
+    for r in failed.toLocalIterator() if failed is not None and not args.quiet else ():
         logging.getLogger("pagequarry").warning("%s: %s", r["location"], r["error"])
     return 0
 

@@ -25,7 +25,7 @@ class Throttle:
 
 @dataclass(frozen=True)
 class CrawlerConfig:
-    user_agent: str = "SWSbot"
+    user_agent: str = "pagequarry-bot"
     page_buffer: int = 10_000
     throttle: Throttle | None = None
     num_workers: int = field(default_factory=lambda: max(1, (os.cpu_count() or 1) - 2))

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from pagequarry.config import FAIL, CrawlerConfig, Throttle
 
 Fetcher = Callable[[str], tuple[int, str | None, bytes]]
+STARTS = 50  # downloads a second that one task may start
+THREADS = 32
 FETCHED = "url string, status int, body string, error string"
 
 
-def http_get(user_agent: str = "SWSbot", timeout: float = 60) -> Fetcher:
+def http_get(user_agent: str = "pagequarry-bot", timeout: float = 60) -> Fetcher:
     import urllib.error
     import urllib.request
     import zlib
@@ -52,16 +54,18 @@ def decoded(content_type: str | None, body: bytes) -> str:
 
 
 def fetch(urls: DataFrame, get: Fetcher, config: CrawlerConfig = CrawlerConfig(), throttle: Throttle | None = None) -> DataFrame:
-    """(url, status, body, error) of each row of ``urls``, repetitions included.  A rate is kept by host: all
-    URLs of a host are in one task.  Concurrent downloads are shared among the tasks."""
+    """(url, status, body, error) of each row of ``urls``, repetitions included.  The throttle holds for all
+    tasks together: concurrent downloads and rates are shared among them, and a task waits before each start,
+    also the first, while earlier downloads go on."""
     limit = throttle or config.effective_throttle()
     slim = urls.select("url")
     if limit.kind == "Concurrent":
         parts = max(1, min(config.num_workers, int(limit.value)))
         slim, threads, pause = slim.repartition(parts), max(1, int(limit.value) // parts), 0.0
     else:
-        slim = slim.repartition(max(1, config.num_workers), F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
-        threads, pause = 1, limit.value if limit.kind == "Delay" else 1 / limit.value
+        rate = 1 / limit.value if limit.kind == "Delay" else limit.value
+        parts = max(1, min(config.num_workers, int(rate / STARTS)))
+        slim, threads, pause = slim.repartition(parts), THREADS, parts / rate
     strict = config.on_dl_error == FAIL
 
     def one(url: str) -> tuple:
@@ -77,10 +81,11 @@ def fetch(urls: DataFrame, get: Fetcher, config: CrawlerConfig = CrawlerConfig()
         with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
                 if pause:
-                    rows = []
+                    started = []
                     for url in batch["url"]:
-                        time.sleep(pause)  # also before the first
-                        rows.append(one(url))
+                        time.sleep(pause)
+                        started.append(pool.submit(one, url))
+                    rows = [x.result() for x in started]
                 else:
                     rows = list(pool.map(one, batch["url"]))
                 out = pd.DataFrame(rows, columns=["url", "status", "body", "error"])

@@ -29,7 +29,7 @@ def pattern_regex(pattern: str) -> str:
     return "^" + ".*".join(re.escape(x) for x in (pattern[:-1] if end else pattern).split("*")) + ("$" if end else "")
 
 
-def parse_robots(text: str, user_agent: str = "SWSbot") -> Robot:
+def parse_robots(text: str, user_agent: str = "pagequarry-bot") -> Robot:
     """The groups of the longest agent name that begins the user agent's, else those of ``*``."""
     groups: list[tuple[list[str], list[tuple[bool, str]], list[float]]] = []
     sitemaps, fresh = [], False

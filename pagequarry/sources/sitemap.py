@@ -5,6 +5,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,13 +53,13 @@ def sitemap_entries(pages: DataFrame, on_error: str = SKIP) -> DataFrame:
 
 
 def expand_sitemaps(
-    seeds: DataFrame, fetch: Fetch, accept: Callable[[Column, Column], Column] | None = None, on_dl_error: str = SKIP, on_xml_error: str = SKIP, strict_seed: bool = True, max_depth: int = 100
+    seeds: DataFrame, fetch: Fetch, accept: Callable[[Column, Column], Column] | None = None, on_dl_error: str = SKIP, on_xml_error: str = SKIP, strict_seed: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """((url, sitemap, depth) for the frontier, (url, stage, error)).  Entries that ``accept(url, kind)`` takes
     are followed (index) or emitted (urlset), repetitions included; a sitemap is fetched once however often it
     is listed, so cycles end.  A seed that fails raises under ``strict_seed``."""
     level, seen, out, errors = seeds.select("url"), None, [], []
-    for depth in range(max_depth):
+    for depth in count():
         level = checkpointed(level.distinct() if seen is None else level.distinct().join(seen, "url", "left_anti"))
         if level.isEmpty():
             break

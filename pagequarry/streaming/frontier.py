@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -66,11 +67,22 @@ def follow(
 
 
 def crawl(spark: SparkSession, scraper: Scraper, fetch: Fetch, config: CrawlerConfig | None = None, dedup: bool = True, max_rounds: int | None = None, strict_seed: bool = True) -> CrawlResult:
-    """From the scraper's seed to the end of its frontier, then its finalizer."""
+    """From the scraper's seed to the end of its frontier, then its finalizer, which also runs where the crawl
+    fails or is interrupted.  A ``fetch`` of two arguments gets the throttle as its second: the configured one,
+    else the delay that the robots file asks for, else the default."""
+    try:
+        return _crawl(spark, scraper, fetch, config, dedup, max_rounds, strict_seed)
+    finally:
+        scraper.finalizer()
+
+
+def _crawl(spark: SparkSession, scraper: Scraper, get: Callable, config: CrawlerConfig | None, dedup: bool, max_rounds: int | None, strict_seed: bool) -> CrawlResult:
     config = config or merged(scraper.config)
     kind, urls = validate_seed(scraper.seed_pages, scraper.seed_sitemaps, scraper.seed_robots, config)
     seeds = spark.createDataFrame([(u,) for u in urls], "url string")
     robot = None
+    limited = len(inspect.signature(get).parameters) > 1
+    fetch = (lambda u: get(u, config.effective_throttle(robot.delay if robot else None))) if limited else get
     source = config.robot or (urls[0] if kind == "robots" else None)
     if source:
         got = fetch(spark.createDataFrame([(source,)], "url string")).first()
@@ -87,7 +99,6 @@ def crawl(spark: SparkSession, scraper: Scraper, fetch: Fetch, config: CrawlerCo
     result = follow(seeds, fetch, scraper, config, robot, dedup, max_rounds)
     if early is not None:
         result.errors = early.union(result.errors)
-    scraper.finalizer()
     return result
 
 

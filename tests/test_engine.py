@@ -1,5 +1,6 @@
 import gzip
 import os
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -120,7 +121,7 @@ def test_config():
 
 
 def test_robots():
-    r = parse_robots("User-agent: *\nDisallow: /a\nAllow: /a/b$\nCrawl-delay: 2\nSitemap: http://x/s.xml\nUser-agent: swsbot\nUser-agent: other\nDisallow: /z*q\nAllow: /zz", "SWSbot")
+    r = parse_robots("User-agent: *\nDisallow: /a\nAllow: /a/b$\nCrawl-delay: 2\nSitemap: http://x/s.xml\nUser-agent: pagequarry-bot\nUser-agent: other\nDisallow: /z*q\nAllow: /zz", "pagequarry-bot")
     assert r.delay is None and r.sitemaps == ("http://x/s.xml",)
     assert [r.allowed("http://x" + u) for u in ("/a", "/zaq", "/zzq", "/z", "")] == [True, False, False, True, True]
     star = parse_robots("User-agent: *\nDisallow: /a\nAllow: /a\nDisallow:", "Nobody")
@@ -233,3 +234,40 @@ def test_without_the_subpackage(sf):
 
 def test_selector_strings():
     assert str(parse("a[b=c]>d")) == 'a[b="c"] > d'
+
+
+def test_rate_is_global(spark):
+    urls = spark.createDataFrame([(f"http://h{i % 3}/{i}",) for i in range(12)], "url string").repartition(4)
+
+    def timed(url):
+        return 200, "text/plain", str(time.time()).encode()
+
+    for throttle, gap in ((Throttle("Delay", 0.1), 0.1), (Throttle("PerSecond", 20), 0.05)):
+        starts = sorted(float(r.body) for r in fetch(urls, timed, CrawlerConfig(num_workers=4), throttle).collect())
+        assert len(starts) == 12 and starts[-1] - starts[0] >= 11 * gap * 0.95
+
+
+class Polite(Walk):
+    seed_sitemaps, seed_robots = None, "http://s/robots.txt"
+    ended = []
+
+    def finalizer(self):
+        Polite.ended.append(1)
+
+
+def test_crawl_from_robots(spark):
+    site = "http://s"
+    loc = lambda *x: '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' + "".join(f"<url><loc>{u}</loc></url>" for u in x) + "</urlset>"
+    rows = [(f"{site}/robots.txt", f"User-agent: *\nCrawl-delay: 0.25\nSitemap: {site}/map.xml\n"), (f"{site}/map.xml", loc(f"{site}/1")), (f"{site}/1", "<p>one</p>")]
+    bodies, asked = spark.createDataFrame(rows, "url string, body string"), []
+
+    def get(urls, throttle):
+        asked.append(throttle)
+        return fetch_from_table(urls, bodies)
+
+    got = crawl(spark, Polite(), get)
+    assert [r.url for r in got.visited.collect()] == [f"{site}/1"] and len(Polite.ended) == 1
+    assert asked[0] == Throttle() and set(asked[1:]) == {Throttle("Delay", 0.25)}
+    with pytest.raises(RuntimeError):
+        crawl(spark, Polite(), lambda u: fetch_from_table(u, bodies.limit(0)))
+    assert len(Polite.ended) == 2
