@@ -6,7 +6,8 @@ symbols, with any white space and separators between them, become a lattice: eve
 character emits itself, the letters that it can stand for, or nothing (a separator, or the repetition of
 the character before it), each at a cost.  Viterbi decoding under a character trigram model finds the
 likeliest string, and the restored words are scored with all other words of the text.  Neighbouring tokens
-that join to a lexicon word of ``MIN_SPLIT`` letters count as it.
+that join to a lexicon word of ``MIN_SPLIT`` letters count as it, unless clean labelled documents hold both of
+them as words.
 
 * The character model counts every text of the corpus; its alphabet is fixed (``ALPHABET`` letters), so
   the counts that are collected are bounded whatever the input.
@@ -230,11 +231,39 @@ def entries(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in STEMS if len(word) > k)]
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> tuple[dict[str, float], float]:
-    """Weights of the toxic words, and the prior's log odds."""
+def labelled(docs: DataFrame, labels: DataFrame, max_labels: int) -> DataFrame:
+    """(text, toxic) of the labelled documents that fit the lexicon."""
     named = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
     sample = named.orderBy(F.xxhash64("__id"), "__id").limit(max_labels)
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("text", "toxic").where("text IS NOT NULL")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("text", "toxic").where("text IS NOT NULL")
+
+
+def pieces_of(word: str) -> list[tuple[str, str]]:
+    """The ways to cut a lexicon word in two."""
+    return [(word[:k], word[k:]) for k in range(2, len(word) - 1)] if len(word) >= MIN_SPLIT and not word.endswith("-") else []
+
+
+def plain_pieces(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_labels: int = MAX_LABELS) -> frozenset[str]:
+    """Pieces of lexicon words that clean documents hold as words of their own."""
+    wanted = frozenset(x for w in weights for pair in pieces_of(w) for x in pair)
+    if not wanted:
+        return wanted
+
+    @trimmed
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found.update(wanted.intersection(words_of(text)))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["piece"])
+
+    rows = labelled(docs, labels, max_labels).where("toxic = 0").select("text").mapInArrow(held, "piece string").distinct()
+    return frozenset(r["piece"] for r in rows.collect())  # at most the wanted ones
+
+
+def lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> tuple[dict[str, float], float]:
+    """Weights of the toxic words, and the prior's log odds."""
+    known = labelled(docs, labels, max_labels)
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic = sum(n for k, n in sizes.items() if k)
     n_clean = sum(n for k, n in sizes.items() if not k)
@@ -287,7 +316,7 @@ def lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
 class Judge:
     """Scores texts; remembers tokens, of which a corpus repeats most."""
 
-    def __init__(self, model: CharModel, weights: dict[str, float], prior: float):
+    def __init__(self, model: CharModel, weights: dict[str, float], prior: float, plain: frozenset[str] = frozenset()):
         self.model, self.weights, self.prior = model, weights, prior
         self.collapsed = {_TWICE.sub(r"\1", w): w for w in weights}
         self.harmless: set[str] = set()
@@ -295,9 +324,9 @@ class Judge:
         self.runs: dict[str, tuple[str, ...]] = {}
         self.halves: dict[str, dict[str, str]] = {}  # of words in two pieces: the first, the second, the word
         for w in weights:
-            if len(w) >= MIN_SPLIT and not w.endswith("-"):
-                for k in range(2, len(w) - 1):
-                    self.halves.setdefault(w[:k], {})[w[k:]] = w
+            for first, second in pieces_of(w):
+                if first not in plain or second not in plain:  # else two words, as clean documents have them
+                    self.halves.setdefault(first, {})[second] = w
 
     def weight(self, word: str) -> float:
         return max([self.weights.get(e, 0.0) for e in entries(word)])
@@ -374,6 +403,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, m
     """(doc_id, toxicity, toxic, words, n_restored): the probability, the decision, the lexicon words found
     and how many of them were hidden."""
     weights, prior = lexicon(docs, labels, max_labels)
+    plain = plain_pieces(docs, labels, weights, max_labels)
     counts = char_counts(docs)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -381,7 +411,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, m
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(CharModel(counts, [w.rstrip("-") for w in weights]), weights, prior)
+        judge = Judge(CharModel(counts, [w.rstrip("-") for w in weights]), weights, prior, plain)
         for batch in batches:
             odds, words, restored = [], [], []
             for text in batch.column(1).to_pylist():

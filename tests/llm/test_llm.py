@@ -399,6 +399,8 @@ def test_combined_disguises():
     more = op9_toxicity.Judge(op9_toxicity.CharModel(np.bincount(np.concatenate([op9_toxicity.trigrams(w) for w in [*WORDS, "ass", "shit", "stupid"]]), minlength=op9_toxicity.ALPHABET**3), ["ass", "shit", "stupid"]), dict.fromkeys(["ass", "shit", "stupid"], 5.0), -3.0)
     for seen, word in {"@$$": "ass", "455": "ass", "$#!7": "shit", "5#17": "shit", "stu pid": "stupid", "st upid.": "stupid", "s   t   u   p   i   d": "stupid"}.items():
         assert more.text(f"{WORDS[3]} {seen} {WORDS[9]}")[1] == [word], seen
+    assert op9_toxicity.Judge(judge.model, {"stupid": 5.0}, -3.0, frozenset({"stu", "pid"})).text("stu pid or st upid")[1] == ["stupid"]
+    assert op9_toxicity.Judge(judge.model, {"stupid": 5.0}, -3.0, frozenset({"stu", "pid"})).text("stu pid")[1] == []
     assert more.text("in 1999 and 2024, 3.14 or 12:30, 100% of $5")[1] == []
     assert judge.text("l 0 $ e r   1 d 1 0 t\nm 0 r 0 n")[1] == ["idiot", "loser", "moron"]
     for clean in ("a b c d e f", "2 7 2\n7 2 2", "( a ) ( b ) ( c )", "| | |\n+---+---+", "x + y = z!", "5 $ 3", "- - -", "", "*" * 100_000, "* " * 50_000 + "a", "a " + "* " * 50_000 + "b"):
