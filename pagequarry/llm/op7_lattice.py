@@ -12,7 +12,9 @@ piece are spelled by byte pieces; that arc is always there, so every word has a
 
 At scale: the only things shuffled are (word, count) pairs, combined in each task first; the scores are
 one number for each piece of the vocabulary, whatever the corpus.  Each task keeps the marginals of the
-words that it has met, and drops them when there are too many, so memory is bounded.
+words that it has met, and drops them when there are too many, so memory is bounded.  The words that a
+stretch of texts adds are scored together: words of about one length are the columns of a matrix, through
+which the pieces' trie and the recursion go a character at a time in numpy.
 
 Defined results: a null text has null scores; a text without words has 0 words, score 0 and null
 ``bits_per_char``; one very long word is scored whole; repeated rows count and are scored repeatedly;
@@ -36,7 +38,12 @@ from pagequarry.llm._tokens import DEFAULT_PIECES, pieces
 
 SMOOTHING = 0.5
 FLUSH_WORDS = 300_000
+STRETCH = 1 << 20  # characters of texts whose new words are scored together
+CELLS = 1 << 14  # characters of a matrix of words
+MIN_COLUMNS = 12  # fewer words, or longer ones, are scored one by one
+MAX_ROWS = 256
 MARK = "▁"
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -88,6 +95,44 @@ class Lattice:
         self.scores = scores
         self.byte_scores = byte_scores
         self.prefixes = {p[:k] for p in scores for k in range(1, len(p) + 1)}
+        # the trie of the pieces for numpy: (node, character) -> node in an open hash table; node 0 is the root
+        nodes = {p: k for k, p in enumerate(sorted(self.prefixes, key=len), 1)} | {"": 0}
+        chars = sorted({p[-1] for p in self.prefixes})
+        self.code = np.zeros(0x110000, np.int32)  # 0: in no piece, or beyond a word's end
+        self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.width = np.int64(len(chars) + 1)
+        self.score = np.array([-np.inf, *(scores.get(p, -np.inf) for p in nodes if p)])
+        self.depth = max(map(len, scores), default=1)
+        bits = max(4, (4 * len(nodes)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.nodes = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        last = self.code[np.array([ord(p[-1]) for p in nodes if p], np.int64)]
+        keys = np.array([nodes[p[:-1]] for p in nodes if p], np.int64) * self.width + last
+        ids, at = np.arange(1, len(nodes)), self._slot(keys)
+        while len(ids):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            mine = self.keys[at] == keys  # of several for one slot, the last is in it
+            self.nodes[at[mine]] = ids[mine]
+            keys, ids, at = keys[~mine], ids[~mine], (at[~mine] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
+
+    def _step(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The nodes that characters lead to; 0 for none."""
+        keys = nodes * self.width + codes
+        at = self._slot(keys)
+        seen = self.keys[at]
+        out = np.where(seen == keys, self.nodes[at], 0)
+        (open_,) = np.nonzero((seen != keys) & (seen >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            seen = self.keys[at[open_]]
+            hit = seen == keys[open_]
+            out[open_[hit]] = self.nodes[at[open_[hit]]]
+            open_ = open_[~hit & (seen >= 0)]
+        return out
 
     def spelled(self, char: str) -> float:
         return sum(self.byte_scores[b] for b in char.encode("utf-8", "surrogatepass"))
@@ -122,6 +167,60 @@ class Lattice:
         top = max(terms)
         return top + log(sum([exp(t - top) for t in terms]))
 
+    def log_marginals(self, words: list[str]) -> np.ndarray:
+        """The same for many words, none of them empty."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        out = np.empty(len(words))
+        order = np.argsort(-sizes, kind="stable")
+        at = 0
+        while at < len(order):
+            rows = int(sizes[order[at]])
+            own = order[at : at + max(1, CELLS // (rows + 1))]
+            if rows > MAX_ROWS or len(own) < MIN_COLUMNS:
+                out[own] = [self.log_marginal(words[k]) for k in own]
+            else:
+                out[own] = self._columns([words[k] for k in own], sizes[own])
+            at += len(own)
+        return out
+
+    def _columns(self, words: list[str], sizes: np.ndarray) -> np.ndarray:
+        """The same for words of falling length, as columns of a matrix."""
+        n, rows = len(words), int(sizes[0])
+        points = np.array(words, f"<U{rows}").view(np.uint32).reshape(n, rows).T
+        inside = np.arange(rows)[:, None] < sizes
+        codes = np.zeros((rows + self.depth, n), np.int64)
+        codes[:rows] = np.where(inside, self.code[points], 0)
+        flat = codes.ravel()
+        # arcs[d - 1]: scores of the arcs of d characters by the row and column of their end
+        arcs = np.full((self.depth, rows + 1, n), -np.inf)
+        starts = np.flatnonzero(inside)
+        nodes = np.zeros(len(starts), np.int64)
+        deepest = 1
+        for d in range(1, self.depth + 1):
+            nodes = self._step(nodes, flat[starts + (d - 1) * n])
+            scores = self.score[nodes]
+            if d == 1:
+                (bare,) = np.nonzero(scores == -np.inf)  # bytes spell a character that is no piece of its own
+                each, which = np.unique(points.ravel()[starts[bare]] if len(bare) else np.zeros(0, np.uint32), return_inverse=True)
+                scores[bare] = np.array([self.spelled(chr(c)) for c in each])[which] if len(bare) else 0
+            some = scores > -np.inf
+            if some.any():
+                deepest = d
+                arcs[d - 1].ravel()[starts[some] + d * n] = scores[some]
+            on = nodes > 0
+            starts, nodes = starts[on], nodes[on]
+            if not len(starts):
+                break
+        alpha = np.zeros((rows + 1, n))
+        for j in range(1, rows + 1):
+            here = int(np.searchsorted(-sizes, -j, side="right"))  # words of j characters and more
+            d = min(j, deepest)
+            terms = alpha[j - d : j, :here][::-1] + arcs[:d, j, :here]
+            top = terms.max(0)
+            terms -= top
+            alpha[j, :here] = top + np.log(np.exp(terms, out=terms).sum(0))
+        return alpha[sizes, np.arange(n)]
+
 
 def lattice_of(counts: dict[int, int], model: str = DEFAULT_PIECES, smoothing: float = SMOOTHING) -> Lattice:
     """The lattice over a model's pieces with scores from their counts."""
@@ -134,6 +233,19 @@ def lattice_of(counts: dict[int, int], model: str = DEFAULT_PIECES, smoothing: f
     return Lattice({sp.id_to_piece(i): s for i, s in score.items() if not sp.is_byte(i)}, byte_scores)
 
 
+def stretches(column: pa.Array, least: int = STRETCH) -> Iterator[list[str | None]]:
+    """All texts in order, in lists of ``least`` characters and what their last text has beyond."""
+    held, size = [], 0
+    for text in column:
+        held.append(text.as_py())
+        size += len(held[-1] or "")
+        if size >= least:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def score_documents(docs: DataFrame, model: str = DEFAULT_PIECES, smoothing: float = SMOOTHING) -> DataFrame:
     """(doc_id, n_words, log_prob, bits_per_char): natural log of the marginal probability, and its bits
     by character that is not white space."""
@@ -143,22 +255,23 @@ def score_documents(docs: DataFrame, model: str = DEFAULT_PIECES, smoothing: flo
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marginal = lattice_of(counts, model, smoothing).log_marginal
+        lattice = lattice_of(counts, model, smoothing)
         known: dict[str, float] = {}
         for batch in batches:
             n_words, logs, bits = [], [], []
-            for text in batch.column(1):
-                if not text.is_valid:
-                    n_words.append(None), logs.append(None), bits.append(None)
-                    continue
-                own = text.as_py().split()
+            for texts in stretches(batch.column(1)):
                 if len(known) > FLUSH_WORDS:
                     known.clear()
-                for w in set(own).difference(known):
-                    known[w] = marginal(MARK + w)
-                total = math.fsum(map(known.__getitem__, own))
-                chars = sum(map(len, own))
-                n_words.append(len(own)), logs.append(total), bits.append(-total / math.log(2) / chars if chars else None)
+                split = [None if text is None else text.split() for text in texts]
+                new = list({w for own in split if own for w in own}.difference(known))
+                known.update(zip(new, lattice.log_marginals([MARK + w for w in new]).tolist()))
+                for own in split:
+                    if own is None:
+                        n_words.append(None), logs.append(None), bits.append(None)
+                        continue
+                    total = math.fsum(map(known.__getitem__, own))
+                    chars = sum(map(len, own))
+                    n_words.append(len(own)), logs.append(total), bits.append(-total / math.log(2) / chars if chars else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(logs, pa.float64()), pa.array(bits, pa.float64())], names=["doc_id", "n_words", "log_prob", "bits_per_char"])
 
     return slim.mapInArrow(score, f"doc_id {kind}, n_words long, log_prob double, bits_per_char double")

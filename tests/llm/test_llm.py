@@ -1,6 +1,7 @@
 import math
 import random
 import struct
+import time
 from collections import Counter, defaultdict
 from fnmatch import fnmatchcase
 
@@ -301,6 +302,36 @@ def test_lattice(spark, odd):
     assert op7_lattice.score_documents(odd).count() == 14 and op7_lattice.score_documents(odd.limit(0)).count() == 0
 
 
+def test_lattice_columns():
+    """Words scored together score as each on its own, at well under its cost."""
+    rng = random.Random(7)
+    pool = ["the", "ing", "hat", "é", "e\u0301", "猫", "ß", "😀", "\0", "\u200b", "<0x00>", "7", "$", op7_lattice.MARK, "\U0010ffff"]
+    few = [op7_lattice.MARK + "".join(rng.choices(pool, k=rng.randint(1, 3))) for _ in range(400)]
+    long = [op7_lattice.MARK + "".join(rng.choices(pool, k=k)) for k in [60] * 40 + [2000] * 2]
+    lattice = op7_lattice.lattice_of(dict(Counter(i for own in pieces().encode(few) for i in own)))
+    got = lattice.log_marginals(few + long)
+    assert got[:400] == pytest.approx([math.log(sum(map(math.exp, _segmentations(lattice, w)))) for w in few], rel=1e-9)
+    assert got[400:] == pytest.approx([lattice.log_marginal(w) for w in long], rel=1e-9)
+    assert len(lattice.log_marginals([])) == 0 and lattice.log_marginals(few[:1]) == pytest.approx(got[:1])
+    words = [op7_lattice.MARK + "".join(rng.choices("etaoinshr", k=rng.randint(4, 12))) for _ in range(20_000)]
+    start = time.process_time()
+    each = [lattice.log_marginal(w) for w in words]
+    middle = time.process_time()
+    assert lattice.log_marginals(words) == pytest.approx(each, rel=1e-12)
+    assert time.process_time() - middle < 0.6 * (middle - start)
+
+
+def test_lattice_stretches(spark):
+    """All texts are in stretches, in order, and each row has its own text's words."""
+    texts = [None, "", "the hat", "x" * 40 + " a hat", None, "hat the", "猫 " * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = op7_lattice.score_documents(docs).orderBy("doc_id").collect()
+    for size in (1, 10, 45):
+        held = list(op7_lattice.stretches(pa.array(texts, pa.string()), size))
+        assert [t for h in held for t in h] == texts and all(sum(len(t or "") for t in h[:-1]) < size for h in held)
+    assert [r.n_words for r in got] == [None if t is None else len(t.split()) for t in texts]
+
+
 # 8
 def test_hilbert():
     n = 8
