@@ -49,6 +49,9 @@ STEM_PURITY = 0.98
 MIN_WEIGHT = 2.5
 CUTOFF = 0.5
 REMEMBERED = 400_000
+REMEMBERED_RUNS = 20_000
+REMEMBERED_RUN = 200  # characters; a longer run is read anew
+PART = 1 << 18
 ROW = 16
 MIN_SPELLED = 3  # characters of a token without letters that may be a word
 MIN_SPLIT = 5  # letters of a word that may be cut in two pieces
@@ -81,6 +84,7 @@ _ELEMENT = re.compile(rf"[^\W_]|[{_SYMBOLS}]|\*")
 _RUNS = re.compile(rf"(?:(?<![^\W_])[^\W_](?![^\W_])|[{_SYMBOLS}])(?:[\s{re.escape(SEPARATORS)}]*+(?:(?<![^\W_])[^\W_](?![^\W_])|[{_SYMBOLS}]))++")
 _ALL_LEET = re.compile("[" + re.escape("".join(LEET)) + "]+")
 _STOPS = ".,;:?!)]}\"'"
+_ENDS = "\"'.,;:?!)]}>-_"
 _LEETED = re.compile(r"[0-9@$!|+(€£*#]")
 
 
@@ -91,38 +95,43 @@ def _squeezed(gap: str) -> str:
     return "*" * n if 0 < n <= ROW else gap and " "
 
 
-def spelled_runs(text: str) -> Iterator[tuple[str, ...]]:
-    """For each run of three or more single characters, what it may spell: all of it, its parts between
-    unusual gaps (a gap between words is often wider than those between letters), and these without a
-    first or last character, which may be a word or a mark of its own; each of three characters at least."""
+def single_runs(text: str) -> Iterator[str]:
+    """The runs of single characters, with the white space and separators around them."""
     for m in _RUNS.finditer(text):
         at, to = m.span()
         while at and text[at - 1] in _EDGE:
             at -= 1
         while to < len(text) and text[to] in _EDGE:
             to += 1
-        run = text[at:to].lower()
-        if len(_ELEMENT.findall(run)) < 3:
-            continue
-        chars, gaps = [], []
-        k = _GAP.match(run).end()
-        lead = _squeezed(run[:k]).strip()
-        while k < len(run):
-            chars.append(run[k])
-            end = _GAP.match(run, k + 1).end()
-            gaps.append(run[k + 1 : end])
-            k = end
-        tail = _squeezed(gaps.pop()).strip()
-        usual = Counter(gaps).most_common(1)[0][0]
-        cuts = [0, *(i for i, g in enumerate(gaps, 1) if g != usual), len(chars)]
-        spans = {(0, len(chars)), *(x for x in zip(cuts, cuts[1:]) if x[1] - x[0] > 2)}
-        spans |= {(a + i, b - j) for a, b in spans for i in (0, 1) for j in (0, 1) if b - a - i - j > 2}
-        joins = [_squeezed(g) for g in gaps]
-        out = {m.group().lower() for m in _SPACED.finditer(text[at:to])}
-        for a, b in spans:
-            seen = "".join(c + g for c, g in zip(chars[a:b], [*joins[a : b - 1], ""]))
-            out.add((lead if a == 0 else "") + seen + (tail if b == len(chars) else ""))
-        yield tuple(sorted(out))
+        yield text[at:to]
+
+
+def readings(found: str) -> tuple[str, ...]:
+    """What a run of three or more single characters may spell: all of it, its parts between
+    unusual gaps (a gap between words is often wider than those between letters), and these without a
+    first or last character, which may be a word or a mark of its own; each of three characters at least."""
+    run = found.lower()
+    if len(_ELEMENT.findall(run)) < 3:
+        return ()
+    chars, gaps = [], []
+    k = _GAP.match(run).end()
+    lead = _squeezed(run[:k]).strip()
+    while k < len(run):
+        chars.append(run[k])
+        end = _GAP.match(run, k + 1).end()
+        gaps.append(run[k + 1 : end])
+        k = end
+    tail = _squeezed(gaps.pop()).strip()
+    usual = Counter(gaps).most_common(1)[0][0]
+    cuts = [0, *(i for i, g in enumerate(gaps, 1) if g != usual), len(chars)]
+    spans = {(0, len(chars)), *(x for x in zip(cuts, cuts[1:]) if x[1] - x[0] > 2)}
+    spans |= {(a + i, b - j) for a, b in spans for i in (0, 1) for j in (0, 1) if b - a - i - j > 2}
+    joins = [_squeezed(g) for g in gaps]
+    out = {m.group().lower() for m in _SPACED.finditer(found)}
+    for a, b in spans:
+        seen = "".join(c + g for c, g in zip(chars[a:b], [*joins[a : b - 1], ""]))
+        out.add((lead if a == 0 else "") + seen + (tail if b == len(chars) else ""))
+    return tuple(sorted(out))
 
 
 def trigrams(word: str) -> np.ndarray:
@@ -196,6 +205,33 @@ class CharModel:
         return "".join(reversed(letters))
 
 
+def add_trigrams(texts: list[str], total: np.ndarray) -> None:
+    """Add the trigrams of texts in small letters, none of them empty; two edges are before each, one is after it."""
+    a = ALPHABET
+    whole = "\0\0" + "\0\0".join(texts) + "\0"
+    for at in range(0, len(whole) - 2, PART):  # two characters of overlap: no trigram is lost
+        points = np.frombuffer(whole[at : at + PART + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = _LUT[np.minimum(points, 0x17F)]
+        total += np.bincount((codes[:-2] * a + codes[1:-1]) * a + codes[2:], minlength=a**3)
+    # what is read from a text's last character over the two edges before the next is no trigram of either
+    np.subtract.at(total, [CODE.get(t[-1], 0) * a * a for t in texts[:-1]], 1)
+
+
+def stretches(texts: pa.Array) -> Iterator[list[str]]:
+    """All texts but empty ones, in small letters, in lists of ``PART`` characters and what their last text has beyond."""
+    held, size = [], 0
+    for text in texts:
+        if not text.as_py():
+            continue
+        held.append(text.as_py().lower())
+        size += len(held[-1])
+        if size >= PART:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def char_counts(docs: DataFrame) -> np.ndarray:
     """Trigrams of all texts, as ALPHABET**3 numbers."""
     a = ALPHABET
@@ -204,14 +240,8 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(a**3, np.int64)
         for batch in batches:
-            for text in as_string_array(batch.column(0)).to_pylist():
-                for at in range(0, len(text), 1 << 16):  # two characters of overlap: no trigram is lost
-                    points = np.frombuffer(text[max(0, at - 2) : at + (1 << 16)].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-                    codes = np.zeros(len(points) + (2 if at == 0 else 0) + 1, np.int64)
-                    codes[len(codes) - 1 - len(points) : -1] = _LUT[np.minimum(points, 0x17F)]
-                    if at + (1 << 16) < len(text):
-                        codes = codes[:-1]
-                    total += np.bincount((codes[:-2] * a + codes[1:-1]) * a + codes[2:], minlength=a**3)
+            for texts in stretches(as_string_array(batch.column(0))):
+                add_trigrams(texts, total)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["gram", "n"])
 
@@ -231,6 +261,29 @@ def entries(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in STEMS if len(word) > k)]
 
 
+class Entries:
+    """Which entries of a word are among given ones; for words without a dash."""
+
+    def __init__(self, held):
+        self.held = held
+        self.begins = [(k, {w[:-1]: w for w in held if w.endswith("-") and len(w) == k + 1}) for k in STEMS]
+
+    def of(self, word: str) -> tuple[str, ...]:
+        found = [word] if word in self.held else []
+        for k, begins in self.begins:
+            if word[:k] in begins and len(word) > k:
+                found.append(begins[word[:k]])
+        return tuple(found)
+
+    def any(self, word: str) -> bool:
+        if word in self.held:
+            return True
+        for k, begins in self.begins:
+            if word[:k] in begins and len(word) > k:
+                return True
+        return False
+
+
 def labelled(docs: DataFrame, labels: DataFrame, max_labels: int) -> DataFrame:
     """(text, toxic) of the labelled documents that fit the lexicon."""
     named = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
@@ -288,19 +341,16 @@ def lexicon(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
     @trimmed
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+        counted = Entries(seen)
         held: dict[str, tuple[str, ...]] = {}  # of words met before
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                own: set[str] = set()
-                for w in set(words_of(text)):
-                    found = held.get(w)
-                    if found is None:
-                        if len(held) > REMEMBERED:
-                            held.clear()
-                        found = held[w] = tuple(e for e in entries(w) if e in seen)
-                    if found:
-                        own.update(found)
-                total.update(own)
+                if len(held) > REMEMBERED:
+                    held.clear()
+                own = set(words_of(text))
+                for w in own.difference(held):
+                    held[w] = counted.of(w)
+                total.update(set().union(*map(held.__getitem__, own)))
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["word", "n"])
 
     against = {r["word"]: r["n"] for r in known.where("toxic = 0").select("text").mapInArrow(clean, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator()}
@@ -322,6 +372,9 @@ class Judge:
         self.harmless: set[str] = set()
         self.found: dict[str, tuple[tuple[str, ...], bool]] = {}
         self.runs: dict[str, tuple[str, ...]] = {}
+        self.read: dict[str, frozenset[str]] = {}  # of short runs as they stand in texts
+        self.openers: set[str] = set()  # tokens met that are a first piece
+        self.listed, self.listed_once = Entries(weights), Entries(self.collapsed)
         self.halves: dict[str, dict[str, str]] = {}  # of words in two pieces: the first, the second, the word
         for w in weights:
             for first, second in pieces_of(w):
@@ -343,11 +396,17 @@ class Judge:
     def token(self, token: str) -> tuple[tuple[str, ...], bool]:
         """Lexicon words in a token without white space, and whether decoding was what showed one."""
         low = token.lower()
+        core = low.strip(_ENDS)
+        if core.isalpha():  # one word
+            if self.listed.any(core):
+                return (core,), False
+            if _TWICE.search(core) and (_RUN.search(core) or self.listed_once.any(_TWICE.sub(r"\1", core))):
+                return tuple(self._restored(core)), True
+            return (), False
         parts = _WORD.findall(low)
-        hits = [w for w in parts if self.weight(w)]
+        hits = [w for w in parts if self.listed.any(w)]
         if hits:
             return tuple(hits), False
-        core = low.strip("\"'.,;:?!)]}>-_")
         while core and core[-1] in "*#$%&@+|" and core[-3:] == core[-1] * 3:
             core = core.rstrip(core[-1])  # a tail of symbols is ornament, not spelling
         if core.isalpha():
@@ -360,6 +419,17 @@ class Judge:
             return tuple(w for w in self._restored(core) if w in self.weights), True
         return (), False
 
+    def run(self, found: str) -> frozenset[str]:
+        """Lexicon words in a run as it stands in a text."""
+        got = self.read.get(found)
+        if got is None:
+            got = frozenset(w for seen in readings(found) for w in self.spelled(seen))
+            if len(found) <= REMEMBERED_RUN:
+                if len(self.read) >= REMEMBERED_RUNS:
+                    self.read.clear()
+                self.read[found] = got
+        return got
+
     def spelled(self, seen: str) -> tuple[str, ...]:
         """Lexicon words in a run of single characters."""
         got = self.runs.get(seen)
@@ -376,25 +446,28 @@ class Judge:
         if text:
             if len(self.harmless) > REMEMBERED:
                 self.harmless.clear()
+                self.openers.clear()  # met again, as no token is harmless now
             if len(self.found) > REMEMBERED:
                 self.found.clear()
             tokens = text.split()
-            for token in set(tokens).difference(self.harmless):
+            distinct = set(tokens)
+            for token in distinct.difference(self.harmless):
+                if token.lower() in self.halves:
+                    self.openers.add(token)
                 got = self.found.get(token) or self.token(token)
                 if got[0]:
                     self.found[token] = got
                     (hidden if got[1] else held).update(got[0])
                 else:
                     self.harmless.add(token)
-            if self.halves:
-                low = text.lower().split()
-                for k in [k for k, t in enumerate(low[:-1]) if t in self.halves]:
-                    word = self.halves[low[k]].get(low[k + 1].rstrip(_STOPS))
+            if not self.openers.isdisjoint(distinct):
+                openers = self.openers
+                for k in [k for k, t in enumerate(tokens) if t in openers and k + 1 < len(tokens)]:
+                    word = self.halves[tokens[k].lower()].get(tokens[k + 1].lower().rstrip(_STOPS))
                     if word:
                         hidden.add(word)
-            for run in spelled_runs(text):
-                for seen in run:
-                    hidden.update(self.spelled(seen))
+            for found in single_runs(text):
+                hidden.update(self.run(found))
         words = held | hidden
         return self.prior + sum(self.weight(w) for w in sorted(words)), sorted(words), len(hidden - held)
 
