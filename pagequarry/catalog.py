@@ -12,6 +12,7 @@ from pagequarry.config import CsvConfig
 from pagequarry.html import Document
 from pagequarry.css import select, select_first
 from pagequarry.operators import csv_sink
+from pagequarry.operators.durable import stored
 from pagequarry.operators.extract import Spec, explode_nodes, extract, page_facts, select_elements
 from pagequarry.operators.scrape import Context, Scraper, errors, records, scrape, urls
 from pagequarry.plans.select import axis, inner_text, select_nodes
@@ -119,23 +120,23 @@ def node_kinds(spark, sf_dir):
 @_query(_LINKS + "SELECT page_id, href FROM l")
 def node_plan_links(spark, sf_dir):
     """The selector as joins over the node table."""
-    got = select_nodes(explode_nodes(_pages(spark, sf_dir)), "nav > ul > li a[href]")
+    got = select_nodes(stored(explode_nodes(_pages(spark, sf_dir))), "nav > ul > li a[href]")
     return got.select("page_id", F.try_element_at("attrs", F.lit("href")).alias("href"))
 
 
 @_query(_LINKS + "SELECT page_id, text FROM l WHERE pos > 1 AND pos < n")
 def node_plan_siblings(spark, sf_dir):
-    n = explode_nodes(_pages(spark, sf_dir))
+    n = stored(explode_nodes(_pages(spark, sf_dir)))
     got = inner_text(n, select_nodes(n, "nav li + li:not(:last-child) > a"))
     return got.select("page_id", F.col("inner_text").alias("text"))
 
 
 @_query(_LINKS + "SELECT page_id, CAST(pos AS INTEGER) AS place, text FROM l")
 def node_axes(spark, sf_dir):
-    n = explode_nodes(_pages(spark, sf_dir))
-    kids = axis(n, "children").withColumnRenamed("node_id", "ul").join(n.where("name = 'ul'").select("page_id", F.col("node_id").alias("ul")), ["page_id", "ul"])
+    n = stored(explode_nodes(_pages(spark, sf_dir)))
+    kids = axis(n, "children", of=n.where("name = 'ul'")).select("page_id", F.col("other_id").alias("node_id"), "place")
     texts_ = inner_text(n, n.where("name = 'li'"))
-    return kids.join(texts_, (kids.page_id == texts_.page_id) & (kids.other_id == texts_.node_id)).select(kids.page_id, "place", F.col("inner_text").alias("text"))
+    return kids.join(texts_, ["page_id", "node_id"]).select("page_id", "place", F.col("inner_text").alias("text"))
 
 
 @_query(_LINKS + "SELECT page_id, 1 AS scope, CAST(pos AS INTEGER) AS pos, text FROM l")

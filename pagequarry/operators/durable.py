@@ -1,8 +1,9 @@
-"""Cutting of lineage through reliable files."""
+"""Cutting of lineage through reliable files, and tables written once to be read more than once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` from Parquet files in the shared folder, of which each reader takes its own columns and rows; a plan that
+    joins a table with itself would else make it once for each side.  The files go when the driver ends."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)

@@ -27,8 +27,9 @@ NODE_TYPE = StructType([
 ])
 
 
-def element_row(n: Node, pos: int) -> dict:
-    return {"pos": pos, "name": n.name, "id": n.id, "classes": n.classes, "attrs": list(n.attrs.items()), "inner_text": n.inner_text, "inner_html": inner_html(n), "html": outer_html(n)}
+def element_row(n: Node, pos: int) -> list:
+    """In the order of ELEMENT_TYPE."""
+    return [pos, n.name, n.id, n.classes, list(n.attrs.items()), n.inner_text, inner_html(n), outer_html(n)]
 
 
 def _accessor(what: str):
@@ -62,7 +63,7 @@ class Spec:
 
 
 def _mapped(df: DataFrame, html_col: str, keep: list[str], added: StructType, rows) -> DataFrame:
-    """``keep`` columns of ``df`` beside the rows (dicts) that ``rows(html)`` gives for each page."""
+    """``keep`` columns of ``df`` beside the rows (values in the order of ``added``) that ``rows(html)`` gives for each page."""
     slim = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").cast("string").alias("__html"))
     schema = StructType([*slim.schema.fields[:-1], *added.fields])
     arrow = to_arrow_schema(added)
@@ -73,10 +74,11 @@ def _mapped(df: DataFrame, html_col: str, keep: list[str], added: StructType, ro
                 batch = big.slice(at, 64)
                 found, of = [], []
                 for k, html in enumerate(batch.column(len(keep)).to_pylist()):
-                    for r in rows(html):
-                        found.append(r), of.append(k)
+                    more = rows(html)
+                    found += more
+                    of += [k] * len(more)
                 cells = [batch.column(i).take(pa.array(of, pa.int32())) for i in range(len(keep))]
-                cells += [pa.array([r[f.name] for r in found], f.type) for f in arrow]
+                cells += [pa.array(values, f.type) for f, values in zip(arrow, zip(*found) if found else [()] * len(arrow))]
                 yield pa.RecordBatch.from_arrays(cells, names=schema.names)
 
     return slim.mapInArrow(run, schema)
@@ -90,7 +92,7 @@ def extract(df: DataFrame, specs: dict[str, Spec | str], html_col: str = "html",
 
     def rows(html: str | None):
         root = parse_document(html).root
-        return [{k: s.take(root) for k, s in own.items()}]
+        return [[s.take(root) for s in own.values()]]
 
     return _mapped(df, html_col, keep, StructType([StructField(k, s.type) for k, s in own.items()]), rows)
 
@@ -106,51 +108,61 @@ def select_elements(df: DataFrame, selector: str, html_col: str = "html", keep:
         root = (parse_fragment if fragment else parse_document)(html).root
         if outer is None:
             return [element_row(n, i) for i, n in enumerate(select(root, parsed), 1)]
-        return [{"scope": k, **element_row(n, i)} for k, s in enumerate(select(root, outer), 1) for i, n in enumerate(select(s, parsed), 1)]
+        return [[k, *element_row(n, i)] for k, s in enumerate(select(root, outer), 1) for i, n in enumerate(select(s, parsed), 1)]
 
     return _mapped(df, html_col, keep, added, rows)
 
 
-def node_rows(doc: Document) -> list[dict]:
-    """One row for each node, in document order; ``pre`` and ``post`` enclose those of its descendants."""
-    out: list[dict] = []
-    open_: list[tuple[Node, dict]] = []
+_POST, _SIB, _EL, _EL_REV, _TYPE, _TYPE_REV = (NODE_TYPE.names.index(c) for c in ("post", "sib_idx", "el_idx", "el_idx_rev", "type_idx", "type_idx_rev"))
+
+
+def node_rows(doc: Document) -> list[list]:
+    """One row for each node, in document order and with its values in the order of NODE_TYPE; ``pre`` and ``post``
+    enclose those of its descendants."""
+    out: list[list] = []
+    open_: list[tuple[Node, list, int, int, list]] = []  # with the row, its number, that of its tree's root and its children
+    parent = parent_id = parent_kind = None
     clock = 0
     for opens, n in doc.tree.traverse():
         if opens:
-            parent = open_[-1] if open_ else None
-            row = {"node_id": len(out), "parent_id": parent[1]["node_id"] if parent else None, "pre": clock, "depth": len(open_), "kind": n.kind, "ns": n.ns, "name": n.name, "text": n.text}
-            row |= {"parent_kind": parent[0].kind if parent else None, "tree_root": parent[1]["tree_root"] if parent and n.kind != "fragment" else row["node_id"], "el_idx": None, "el_idx_rev": None, "type_idx": None, "type_idx_rev": None}
-            element = n.kind == ELEMENT
-            row |= {"id": n.id if element else None, "classes": n.classes if element else None, "attrs": list(n.attrs.items()) if element else None, "empty": not any(c.kind in (ELEMENT, TEXT) for c in n.children)}
-            row["sib_idx"] = None
-            row["_children"] = []
-            if n.kind == DOCTYPE:
-                row["attrs"] = [("public_id", n.public_id or ""), ("system_id", n.system_id or "")]
+            kind, i = n.kind, len(out)
+            root = parent[3] if parent and kind != "fragment" else i
+            id_ = classes = attrs = None
+            if kind == ELEMENT:
+                id_, classes, attrs = n.id, n.classes, list(n.attrs.items())
+            elif kind == DOCTYPE:
+                attrs = [("public_id", n.public_id or ""), ("system_id", n.system_id or "")]
+            empty = not any(c.kind in (ELEMENT, TEXT) for c in n.children)
+            row = [i, parent_id, clock, None, len(open_), None, None, None, None, None, root, parent_kind, empty, kind, n.ns, n.name, id_, classes, attrs, n.text]
             if parent:
-                parent[1]["_children"].append(row)
+                parent[4].append((n, row))
             out.append(row)
-            open_.append((n, row))
+            parent = (n, row, i, root, [])
+            open_.append(parent)
+            parent_id, parent_kind = i, kind
         else:
-            row = open_.pop()[1]
-            row["post"] = clock
-            children = row.pop("_children")
-            own = [c for c in children if c["kind"] == ELEMENT]
-            types: dict[tuple, list[dict]] = {}
-            for i, c in enumerate(children):
-                c["sib_idx"] = i
-            for i, c in enumerate(own):
-                c["el_idx"], c["el_idx_rev"] = i + 1, len(own) - i
-                types.setdefault((c["ns"], c["name"]), []).append(c)
+            _, row, _, _, children = open_.pop()
+            row[_POST] = clock
+            own = 0
+            types: dict[tuple, list[list]] = {}
+            for k, (c, r) in enumerate(children):
+                r[_SIB] = k
+                if c.kind == ELEMENT:
+                    own += 1
+                    r[_EL] = own
+                    types.setdefault((c.ns, c.name), []).append(r)
             for same in types.values():
-                for i, c in enumerate(same):
-                    c["type_idx"], c["type_idx_rev"] = i + 1, len(same) - i
+                for k, r in enumerate(same):
+                    r[_EL_REV], r[_TYPE], r[_TYPE_REV] = own + 1 - r[_EL], k + 1, len(same) - k
+            parent = open_[-1] if open_ else None
+            parent_id, parent_kind = (parent[2], parent[0].kind) if parent else (None, None)
         clock += 1
     return out
 
 
 def explode_nodes(df: DataFrame, html_col: str = "html", key: str = "page_id", fragment: bool = False) -> DataFrame:
-    """The node table: (``key``, NODE_TYPE columns)."""
+    """The node table: (``key``, NODE_TYPE columns).  What reads it more than once parses each time; store it first
+    (``durable.stored``)."""
     parse_ = parse_fragment if fragment else parse_document
     return _mapped(df, html_col, [key], NODE_TYPE, lambda html: node_rows(parse_(html)))
 
@@ -163,6 +175,6 @@ def page_facts(df: DataFrame, html_col: str = "html", keep: list[str] | None = N
     def rows(html: str | None):
         doc = parse_document(html)
         kinds = [n.kind for n in doc.tree.descendants()]
-        return [{"quirks_mode": doc.quirks_mode, "n_errors": len(doc.errors), "n_nodes": len(kinds), "n_elements": kinds.count(ELEMENT)}]
+        return [[doc.quirks_mode, len(doc.errors), len(kinds), kinds.count(ELEMENT)]]
 
     return _mapped(df, html_col, keep, added, rows)

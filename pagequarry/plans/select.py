@@ -125,13 +125,13 @@ def inner_text(nodes: DataFrame, of: DataFrame, key: str = "page_id") -> DataFra
     return got.select(key, "node_id", F.array_join(F.col("t.text"), "").alias("inner_text"))
 
 
-def axis(nodes: DataFrame, name: str, key: str = "page_id") -> DataFrame:
-    """(key, node_id, other_id, place): the other nodes on an axis of each node, ``place`` from 1 outward or in
-    document order.  Axes: parent, children, ancestors, descendants (with the node itself), next_siblings,
+def axis(nodes: DataFrame, name: str, key: str = "page_id", of: DataFrame | None = None) -> DataFrame:
+    """(key, node_id, other_id, place): the other nodes on an axis of each node, or of the nodes ``of`` only, ``place``
+    from 1 outward or in document order.  Axes: parent, children, ancestors, descendants (with the node itself), next_siblings,
     prev_siblings, first_child, last_child."""
     from pyspark.sql import Window
 
-    a = nodes.select(key, "node_id", "parent_id", "pre", "post", "sib_idx", "depth")
+    a = (nodes if of is None else of).select(key, "node_id", "parent_id", "pre", "post", "sib_idx", "depth")
     b = nodes.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in ("node_id", "parent_id", "pre", "post", "sib_idx", "depth")])
     same = F.col(key) == F.col("_k")
     child, family = same & (F.col("_parent_id") == F.col("node_id")), same & (F.col("_parent_id") == F.col("parent_id"))

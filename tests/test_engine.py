@@ -14,9 +14,10 @@ from pagequarry.config import FAIL, CrawlerConfig, CsvConfig, Throttle, merged,
 from pagequarry.css import parse, select
 from pagequarry.html import parse_document
 from pagequarry.operators import csv_sink
+from pagequarry.operators.durable import stored
 from pagequarry.operators.extract import Spec, explode_nodes, extract, select_elements
 from pagequarry.operators.scrape import Scraper, records, scrape
-from pagequarry.plans.select import select_nodes
+from pagequarry.plans.select import axis, select_nodes
 from pagequarry.sources.fetch import fetch, fetch_from_table
 from pagequarry.sources.files import read_pages
 from pagequarry.sources.robots import parse_robots
@@ -271,3 +272,20 @@ def test_crawl_from_robots(spark):
     with pytest.raises(RuntimeError):
         crawl(spark, Polite(), lambda u: fetch_from_table(u, bodies.limit(0)))
     assert len(Polite.ended) == 2
+
+
+@pytest.mark.parametrize("name", ["node_axes", "node_plan_links", "node_plan_siblings"])
+def test_node_table_is_made_once(spark, sf, name):
+    """A node table that is joined with itself is read from files by each side; no side parses the pages."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("Relation") > 1
+
+
+@pytest.mark.parametrize("name", ["parent", "children", "ancestors", "descendants", "next_siblings", "prev_siblings", "first_child", "last_child"])
+def test_axis_of_some_nodes(spark, name):
+    pages = [(1, "<ul><li>a<li>b<ul><li>c</ul></ul>"), (2, "<p>x</p><ul></ul><ul>t<li><b>y</b></ul>"), (3, "<p>")]
+    n = stored(explode_nodes(spark.createDataFrame(pages, "page_id long, html string")))
+    uls = n.where("name = 'ul'")
+    want = axis(n, name).join(uls, ["page_id", "node_id"], "left_semi")
+    got = axis(n, name, of=uls)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
